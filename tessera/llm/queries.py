@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash, toxicity
+from tessera.llm import quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL where it can express the query.
