@@ -133,32 +133,72 @@ class WordCache:
     """Ids of texts by a ``tokenizers`` model, each distinct word encoded once.
 
     Exact where the model's pre-tokenizer never joins what ``words`` separates;
-    the tests compare it with whole-text encoding.  The cache holds at most
-    ``limit`` words and starts anew beyond that.
+    the tests compare it with whole-text encoding.  The cache holds two
+    generations of at most ``limit`` words; a word that is met again moves to
+    the younger one, so frequent words stay.
     """
 
+    #: New words are encoded so many at a time, with this word between them.
+    JOINED, SEPARATOR = 64, " |"
+
     def __init__(self, path: str, words: re.Pattern, limit: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words, self.limit, self.known = words, limit, {}
+        self.words, self.limit = words, limit
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.spaced = words is SPACED_WORDS
+        self.between = self._ids(self.SEPARATOR)[0] if len(self._ids(self.SEPARATOR)) == 1 else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def _cut(self, text: str) -> list[str]:
+        if not self.spaced and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return text.split()  # the same white space but for these four
+        return self.words.findall(text)
+
+    def _learn(self, new: list[str]) -> None:
+        known, single = self.known, []
+        if self.between is not None:
+            # a word that starts with its space can be told from the separator on either side
+            single = [w for w in new if self.spaced and (w[0] != " " or len(w) < 2 or w.isspace())]
+            joined = [w for w in new if w[0] == " " and len(w) > 1 and not w.isspace()] if self.spaced else new
+            groups = [joined[k : k + self.JOINED] for k in range(0, len(joined), self.JOINED)]
+            glue = self.SEPARATOR if self.spaced else self.SEPARATOR + " "
+            for group, e in zip(groups, self.model.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                at = np.flatnonzero(ids == self.between)
+                if len(at) != len(group) - 1:  # a word that holds the separator's id
+                    single += group
+                    continue
+                raw, at = ids.tobytes(), (4 * at).tolist()
+                known.update(zip(group, [raw[a:b] for a, b in zip([0, *[x + 4 for x in at]], [*at, len(raw)])]))
+        else:
+            single = new
+        for w, e in zip(single, self.model.encode_batch_fast(single, add_special_tokens=False)):
+            known[w] = np.array(e.ids, np.uint32).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """An array of uint32 ids for each text."""
-        out, known, find = [], self.known, self.words.findall
+        out = []
         for start in range(0, len(texts), 64):
-            cut = [find(t) for t in texts[start : start + 64]]
-            new = list({w for words in cut for w in words}.difference(known))
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list({w for words in cut for w in words})
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, np.uint32).tobytes()
-            out += [np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32) for words in cut]
+            cut = [self._cut(t) for t in texts[start : start + 64]]
+            new = set().union(*cut).difference(self.known)
+            if len(self.known) + len(new) > self.limit:
+                self.old, self.known = self.known, {}
+                new = set().union(*cut)
+            if self.old:
+                again = new.intersection(self.old)
+                self.known.update((w, self.old[w]) for w in again)
+                new -= again
+            if new:
+                self._learn(list(new))
+            get = self.known.__getitem__
+            out += [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in cut]
         return out
 
 
