@@ -150,7 +150,7 @@ class WordCache:
         self.words, self.limit = words, limit
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.spaced = words is SPACED_WORDS
+        self.spaced = words.pattern == SPACED_WORDS.pattern
         self.between = self._ids(self.SEPARATOR)[0] if len(self._ids(self.SEPARATOR)) == 1 else None
 
     def _ids(self, text: str) -> list[int]:
