@@ -10,7 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixcoder, packing, quality, simhash, toxicity
+from tessera.llm import mixcoder, packing, pii, quality, simhash, toxicity, winnowing
+
+#: A key for reproducible results; a production run passes its own secret.
+PII_KEY = b"reproducible"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -29,6 +36,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 def op7_mixcoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = mixcoder.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return mixcoder.read_index(files)
@@ -46,7 +57,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_winnowing": op2_winnowing,
     "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
     "op7_mixcoder": op7_mixcoder,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
