@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixcoder, packing, pii, quality, simhash, toxicity, winnowing
+from tessera.llm import chat, mixcoder, packing, pii, quality, sentencepieces, simhash, toxicity, winnowing
 
 #: A key for reproducible results; a production run passes its own secret.
 PII_KEY = b"reproducible"
@@ -57,6 +57,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_mixcoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = mixcoder.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return mixcoder.read_index(files)
@@ -78,6 +82,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_chat": op5_chat,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_mixcoder": op7_mixcoder,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
