@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixcoder, packing, pii, quality, sentencepieces, simhash, toxicity, winnowing
+from tessera.llm import chat, mixcoder, packing, pii, quality, sentencepieces, simhash, toxicity, webpages, winnowing
 
 #: A key for reproducible results; a production run passes its own secret.
 PII_KEY = b"reproducible"
@@ -66,6 +66,10 @@ def op7_mixcoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixcoder.read_index(files)
 
 
+def op8_webpages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webpages.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -84,6 +88,7 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_mixcoder": op7_mixcoder,
+    "op8_webpages": op8_webpages,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
