@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
@@ -129,6 +130,10 @@ SPACED_WORDS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BARE_WORDS = re.compile(rf"[^{SPACE}]+")
 
 
+#: Signs (no apostrophe, which may start a token with letters) that end a stretch of letters for the patterns above.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+
+
 class WordCache:
     """Ids of texts by a ``tokenizers`` model, each distinct word encoded once.
 
@@ -141,7 +146,7 @@ class WordCache:
     #: New words are encoded so many at a time, with this word between them.
     JOINED, SEPARATOR = 64, " |"
 
-    def __init__(self, path: str, words: re.Pattern, limit: int = 400_000) -> None:
+    def __init__(self, path: str, words: re.Pattern, limit: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -151,17 +156,38 @@ class WordCache:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.spaced = words.pattern == SPACED_WORDS.pattern
+        # a model that lower-cases gives the same ids for a text in lower case
+        self.lower = not self.spaced and "Lowercase" in json.dumps(json.loads(self.model.to_str())["normalizer"])
         self.between = self._ids(self.SEPARATOR)[0] if len(self._ids(self.SEPARATOR)) == 1 else None
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
     def _cut(self, text: str) -> list[str]:
+        if self.lower and "İ" not in text and "Σ" not in text:  # Python looks at their context
+            text = text.lower()
         if not self.spaced and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return text.split()  # the same white space but for these four
         return self.words.findall(text)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
+        """Encodes new words; letters with signs at their end are two tokens' stretches, each met more often."""
+        ended = []
+        for w in new:
+            base = w.rstrip(SIGNS)
+            if len(base) < len(w) and base[self.spaced and base[:1] == " " :].isalpha():
+                ended.append((w, base, w[len(base) :]))
+        if ended:
+            parts = {x for _, a, b in ended for x in (a, b)}
+            old = self.old  # set.intersection would run through all of a dict
+            self.known.update([(w, old[w]) for w in parts if w in old])
+            self._encode(list((new.difference([w for w, _, _ in ended]) | parts).difference(self.known)))
+            known = self.known
+            known.update([(w, known[a] + known[b]) for w, a, b in ended])
+        else:
+            self._encode(list(new))
+
+    def _encode(self, new: list[str]) -> None:
         known, single = self.known, []
         if self.between is not None:
             # a word that starts with its space can be told from the separator on either side
@@ -192,11 +218,11 @@ class WordCache:
                 self.old, self.known = self.known, {}
                 new = set().union(*cut)
             if self.old:
-                again = new.intersection(self.old)
-                self.known.update((w, self.old[w]) for w in again)
-                new -= again
+                again = [w for w in new if w in self.old]
+                self.known.update([(w, self.old[w]) for w in again])
+                new.difference_update(again)
             if new:
-                self._learn(list(new))
+                self._learn(new)
             get = self.known.__getitem__
             out += [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in cut]
         return out

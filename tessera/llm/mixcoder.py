@@ -34,8 +34,8 @@ from tessera.llm import common
 MAGIC = b"TCM1"
 #: Ids of a block; slots of a block's prediction tables (a power of two).
 BLOCK, SLOTS = 512, 512
-#: Bits of the mixing weights, of order-0 frequencies, and of a digit.
-W_BITS, F_BITS, DIGIT = 12, 20, 28
+#: Bits of the mixing weights and of a digit.
+W_BITS, DIGIT = 12, 28
 #: Ids after which a file is closed.
 FILE_TOKENS = 1 << 21
 _LEAST, _RATE = 16, 4
@@ -89,9 +89,9 @@ class _Model:
 
 
 def _frequencies(counts: np.ndarray) -> np.ndarray:
-    """Order-0 frequencies that sum to 2**F_BITS, at least 1 each."""
-    whole = 1 << F_BITS
-    if len(counts) > whole // 2:
+    """Order-0 frequencies that sum to a power of two, at least 1 each."""
+    whole = 1 << max(12, len(counts).bit_length() + 2)
+    if whole > 1 << 20:
         raise ValueError("too many distinct ids for one file")
     freq = np.maximum(1, counts * (whole - len(counts)) // max(1, counts.sum()))
     freq[int(np.argmax(freq))] += whole - int(freq.sum())
@@ -101,12 +101,14 @@ def _frequencies(counts: np.ndarray) -> np.ndarray:
 def _encode_lanes(rows: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Digits (lane by lane, flat) and their number per lane, for rows of dense ids (lanes x length)."""
     lanes, length = rows.shape
+    whole = int(freq.sum())
+    bits = _U(whole.bit_length() - 1)
     cum = np.r_[0, np.cumsum(freq)[:-1]].astype(_U)
     freq = freq.astype(_U)
     model = _Model(lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 56) - 1, _U)
-    out, used = np.zeros((lanes, length + 1), _U), np.zeros(lanes, np.int64)
-    flat, row_at = out.reshape(-1), np.arange(lanes, dtype=np.int64) * (length + 1)
+    out, used = np.zeros((length + 1, lanes), _U), np.zeros(lanes, np.int64)
+    flat, lane = out.reshape(-1), np.arange(lanes, dtype=np.int64)
     columns = np.ascontiguousarray(rows.T).astype(np.int64)
     for x in columns:
         e2, e1, f2, f1 = model.predict()
@@ -118,32 +120,34 @@ def _encode_lanes(rows: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.nd
         r = span >> _U(W_BITS)
         low += r * start
         span = r * size
-        r = span >> _U(F_BITS)
+        r = span >> bits
         low += np.where(escape, r * cum[x], _U(0))
-        span = r * np.where(escape, freq[x], _U(1 << F_BITS))
+        span = r * np.where(escape, freq[x], _U(whole))
         over = np.flatnonzero(low >> _U(2 * DIGIT))
         if len(over):
             low[over] &= _U((1 << 56) - 1)
-            flat[row_at[over] + used[over] - 1] += _ONE
+            flat[(used[over] - 1) * lanes + over] += _ONE
         short = np.flatnonzero(span < _U(1 << DIGIT))
         if len(short):
             part = low[short]
-            flat[row_at[short] + used[short]] = part >> _U(DIGIT)
+            flat[used[short] * lanes + short] = part >> _U(DIGIT)
             used[short] += 1
             low[short] = (part & _U((1 << DIGIT) - 1)) << _U(DIGIT)
             span[short] <<= _U(DIGIT)
         model.learn(x, hit2, hit1)
-    flat[row_at + used] = (low + _U((1 << DIGIT) - 1)) >> _U(DIGIT)  # the rest reads as zeros
+    flat[used * lanes + lane] = (low + _U((1 << DIGIT) - 1)) >> _U(DIGIT)  # the rest reads as zeros
     used += 1
     for k in range(int(used.max()) - 1, 0, -1):
-        out[:, k - 1] += out[:, k] >> _U(DIGIT)
-        out[:, k] &= _U((1 << DIGIT) - 1)
-    return out[np.arange(length + 1) < used[:, None]], used
+        out[k - 1] += out[k] >> _U(DIGIT)
+        out[k] &= _U((1 << DIGIT) - 1)
+    return np.ascontiguousarray(out.T)[np.arange(length + 1) < used[:, None]], used
 
 
 def _decode_lanes(digits: np.ndarray, used: np.ndarray, length: int, freq: np.ndarray) -> np.ndarray:
     lanes = len(used)
-    slots = np.repeat(np.arange(len(freq), dtype=np.int64), freq)
+    slots = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+    whole = len(slots)
+    bits = _U(whole.bit_length() - 1)
     cum = np.r_[0, np.cumsum(freq)[:-1]].astype(_U)
     freq = freq.astype(_U)
     wide = int(used.max(initial=0)) + 3
@@ -166,11 +170,11 @@ def _decode_lanes(digits: np.ndarray, used: np.ndarray, length: int, freq: np.nd
         size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f2 - f1)).astype(_U)
         code -= r * start
         span = r * size
-        r = span >> _U(F_BITS)
-        x = slots[np.minimum(code // r, _U((1 << F_BITS) - 1)).astype(np.int64)]
-        x = np.where(escape, x, np.where(hit2, e2, e1) - 1)
+        r = span >> bits
+        x = slots[np.minimum(code // r, _U(whole - 1)).astype(np.int64)]
+        x = np.where(escape, x, np.where(hit2, e2, e1) - 1).astype(np.int64)
         code -= np.where(escape, r * cum[x], _U(0))
-        span = r * np.where(escape, freq[x], _U(1 << F_BITS))
+        span = r * np.where(escape, freq[x], _U(whole))
         short = np.flatnonzero(span < _U(1 << DIGIT))
         if len(short):
             code[short] = (code[short] << _U(DIGIT)) | flat[np.minimum(at[short], last[short])]
@@ -201,8 +205,15 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
     index = np.array([x if x is not None else 0 for x in doc_ids], np.int64)
     absent = np.packbits([x is None for x in doc_ids]) if doc_ids else np.zeros(0, np.uint8)
     index = zlib.compress(np.diff(index, prepend=np.int64(0)).tobytes() + np.asarray(lengths, np.int64).tobytes() + absent.tobytes(), 6)
-    present, dense = np.unique(ids, return_inverse=True)
-    freq = _frequencies(np.bincount(dense, minlength=len(present)).astype(np.int64)) if len(ids) else np.zeros(0, np.int64)
+    if len(ids) and int(ids.max()) < 1 << 22:
+        counts = np.bincount(ids)
+        present = np.flatnonzero(counts)
+        place = np.zeros(len(counts), np.int32)
+        place[present] = np.arange(len(present))
+        counts, dense = counts[present], place[ids]
+    else:
+        present, dense, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    freq = _frequencies(counts.astype(np.int64)) if len(ids) else np.zeros(0, np.int64)
     table = zlib.compress(np.diff(present.astype(np.uint32), prepend=np.uint32(0)).tobytes() + freq.astype(np.uint32).tobytes(), 6)
     block = max(1, min(block, len(ids)))
     lanes = -(-len(ids) // block)
