@@ -91,6 +91,14 @@ def values_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def checked_broadcast(df: DataFrame, most: int) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows; else as it is, to be joined by a shuffle.
+
+    df is counted, so it should be a written table or cheap to make.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def range_of(df: DataFrame, key: str, parts: int) -> tuple[Column, int]:
     """An expression for the number of the key's range, from 0, and how many ranges there are.
 
@@ -148,7 +156,7 @@ class WordCache:
 
     def __init__(self, path: str, words: re.Pattern, limit: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -158,6 +166,12 @@ class WordCache:
         self.spaced = words.pattern == SPACED_WORDS.pattern
         # a model that lower-cases gives the same ids for a text in lower case
         self.lower = not self.spaced and "Lowercase" in json.dumps(json.loads(self.model.to_str())["normalizer"])
+        # letters in lower case are one token's stretch for such a pattern and need no more than composing
+        self.plain = self.model
+        if self.lower and r"[\\p{L}]+|[\\p{N}]|" in json.dumps(json.loads(self.model.to_str())["pre_tokenizer"]):
+            self.plain = Tokenizer.from_str(self.model.to_str())
+            self.plain.normalizer = normalizers.NFC()
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.between = self._ids(self.SEPARATOR)[0] if len(self._ids(self.SEPARATOR)) == 1 else None
 
     def _ids(self, text: str) -> list[int]:
@@ -188,6 +202,13 @@ class WordCache:
             self._encode(list(new))
 
     def _encode(self, new: list[str]) -> None:
+        if self.plain is self.model:
+            return self._encode_by(self.model, new)
+        letters = [w for w in new if w.isalpha() and w == w.lower()]
+        self._encode_by(self.plain, letters)
+        self._encode_by(self.model, list(set(new).difference(letters)))
+
+    def _encode_by(self, model, new: list[str]) -> None:
         known, single = self.known, []
         if self.between is not None:
             # a word that starts with its space can be told from the separator on either side
@@ -195,7 +216,7 @@ class WordCache:
             joined = [w for w in new if w[0] == " " and len(w) > 1 and not w.isspace()] if self.spaced else new
             groups = [joined[k : k + self.JOINED] for k in range(0, len(joined), self.JOINED)]
             glue = self.SEPARATOR if self.spaced else self.SEPARATOR + " "
-            for group, e in zip(groups, self.model.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False)):
+            for group, e in zip(groups, model.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False)):
                 ids = np.array(e.ids, np.uint32)
                 at = np.flatnonzero(ids == self.between)
                 if len(at) != len(group) - 1:  # a word that holds the separator's id
@@ -205,7 +226,7 @@ class WordCache:
                 known.update(zip(group, [raw[a:b] for a, b in zip([0, *[x + 4 for x in at]], [*at, len(raw)])]))
         else:
             single = new
-        for w, e in zip(single, self.model.encode_batch_fast(single, add_special_tokens=False)):
+        for w, e in zip(single, model.encode_batch_fast(single, add_special_tokens=False)):
             known[w] = np.array(e.ids, np.uint32).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -213,27 +234,31 @@ class WordCache:
         out = []
         for start in range(0, len(texts), 64):
             cut = [self._cut(t) for t in texts[start : start + 64]]
-            new = set().union(*cut).difference(self.known)
+            found = [list(map(self.known.get, words)) for words in cut]
+            lacking = [k for k, ids in enumerate(found) if None in ids]
+            new = {w for k in lacking for w, x in zip(cut[k], found[k]) if x is None}
             if len(self.known) + len(new) > self.limit:
                 self.old, self.known = self.known, {}
-                new = set().union(*cut)
             if self.old:
                 again = [w for w in new if w in self.old]
                 self.known.update([(w, self.old[w]) for w in again])
                 new.difference_update(again)
             if new:
                 self._learn(new)
-            get = self.known.__getitem__
-            out += [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in cut]
+            known = self.known
+            for k in lacking:
+                found[k] = [known[w] if x is None else x for w, x in zip(cut[k], found[k])]
+            out += [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
         return out
 
 
 _caches: dict[tuple, WordCache] = {}
 
 
-def word_cache(path: str, words: re.Pattern) -> WordCache:
+def word_cache(path: str, words: re.Pattern, limit: int = 600_000) -> WordCache:
     """One cache for each Python worker and model."""
     key = (path, words.pattern)
     if key not in _caches:
-        _caches[key] = WordCache(path, words)
+        _caches[key] = WordCache(path, words, limit)
+    _caches[key].limit = limit
     return _caches[key]

@@ -33,12 +33,13 @@ from tessera.llm import common
 
 MAGIC = b"TCM1"
 #: Ids of a block; slots of a block's prediction tables (a power of two).
-BLOCK, SLOTS = 512, 512
+BLOCK, SLOTS = 512, 256
 #: Bits of the mixing weights and of a digit.
 W_BITS, DIGIT = 12, 28
 #: Ids after which a file is closed.
 FILE_TOKENS = 1 << 21
-_LEAST, _RATE = 16, 4
+#: Least, first and greatest weight of a prediction, and how slowly weights move (as a shift).
+_LEAST, _FIRST, _MOST, _RATE = 16, 1024, 3600, 4
 _HEAD = struct.Struct("<4sIIIIIIIII")
 _ONE = np.uint64(1)
 _U = np.uint64
@@ -49,15 +50,21 @@ class Damaged(ValueError):
 
 
 class _Model:
-    """The lanes' adaptive state; the coder and the decoder keep it alike."""
+    """The lanes' adaptive state; the coder and the decoder keep it alike.
 
-    def __init__(self, lanes: int) -> None:
+    A weight moves towards _MOST where its prediction was right, else towards
+    its least value.  Where there is nothing to predict, or order 1 says the
+    same as order 2, a lane uses a weight that never moves.
+    """
+
+    def __init__(self, lanes: int, ids: int) -> None:
         self.base = np.arange(lanes, dtype=np.int64) * SLOTS
         self.after1 = np.zeros(lanes * SLOTS, np.int32)
         self.after2 = np.zeros(lanes * SLOTS, np.int32)
-        self.right2 = np.full(lanes * 3, 1 << (W_BITS - 2), np.int32)
-        self.right1 = np.full(lanes * 3, 1 << (W_BITS - 2), np.int32)
+        self.right2 = np.tile(np.array([_LEAST, _FIRST, _FIRST], np.int64), lanes)
+        self.right1 = np.tile(np.array([0, _FIRST, _FIRST], np.int64), lanes)
         self.three = np.arange(lanes, dtype=np.int64) * 3
+        self.slot = (np.arange(ids, dtype=np.int64) * 0x9E3779B1 >> 15) & (SLOTS - 1)
         self.prev = np.zeros(lanes, np.int64)
         self.at1 = self.base.copy()
         self.at2 = self.base.copy()
@@ -65,27 +72,22 @@ class _Model:
     def predict(self) -> tuple[np.ndarray, ...]:
         """The predicted ids plus one (0: none) of orders 2 and 1, and their weights."""
         e2, e1 = self.after2[self.at2], self.after1[self.at1]
-        have2 = e2 > 0
-        same = e2 == e1
-        self.k = self.three + have2 + (have2 & same)
-        self.apart = (e1 > 0) & ~same
-        w2, w1 = self.right2[self.k], self.right1[self.k]
-        f2 = np.where(have2, np.clip(w2, _LEAST, 3600), _LEAST)
-        f1 = np.where(self.apart, np.clip((w1 * (4096 - f2)) >> W_BITS, _LEAST, (4096 - f2) - 2 * _LEAST), _LEAST)
-        self.w2, self.w1 = w2, w1
-        return e2, e1, f2, f1
+        same, have2 = e2 == e1, e2 > 0
+        self.k2 = self.three + have2 + (have2 & same)
+        self.k1 = self.three + ((e1 > 0) & ~same) * (1 + have2)
+        self.f2, self.w1 = self.right2[self.k2], self.right1[self.k1]
+        return e2, e1, self.f2, _LEAST + (self.w1 * (4096 - 2 * _LEAST - self.f2) >> W_BITS)
 
     def learn(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.right2[self.k] = self.w2 + (((hit2.astype(np.int32) << W_BITS) - self.w2) >> _RATE)
-        w1 = self.w1 + (((hit1.astype(np.int32) << W_BITS) - self.w1) >> _RATE)
-        self.right1[self.k] = np.where(self.apart & ~hit2, w1, self.w1)
+        self.right2[self.k2] = self.f2 + ((hit2 * (_MOST - _LEAST) + _LEAST - self.f2) >> _RATE)
+        self.right1[self.k1] = self.w1 + ((hit1 * _MOST - self.w1) >> _RATE)
         value = (x + 1).astype(np.int32)
         self.after2[self.at2] = value
         self.after1[self.at1] = value
-        mixed = x * 0x9E3779B1
-        self.at1 = self.base + ((mixed >> 15) & (SLOTS - 1))
-        self.at2 = self.base + (((mixed + self.prev * 0x85EBCA6B) >> 17) & (SLOTS - 1))
-        self.prev = x
+        now = self.slot[x]
+        self.at1 = self.base + now
+        self.at2 = self.base + ((now + 5 * self.prev) & (SLOTS - 1))
+        self.prev = now
 
 
 def _frequencies(counts: np.ndarray) -> np.ndarray:
@@ -103,9 +105,10 @@ def _encode_lanes(rows: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.nd
     lanes, length = rows.shape
     whole = int(freq.sum())
     bits = _U(whole.bit_length() - 1)
-    cum = np.r_[0, np.cumsum(freq)[:-1]].astype(_U)
-    freq = freq.astype(_U)
-    model = _Model(lanes)
+    none = len(freq)  # stands for "no order-0 step": the whole range
+    cum = np.r_[0, np.cumsum(freq)[:-1], 0].astype(_U)
+    freq = np.r_[freq, whole].astype(_U)
+    model = _Model(lanes, none)
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 56) - 1, _U)
     out, used = np.zeros((length + 1, lanes), _U), np.zeros(lanes, np.int64)
     flat, lane = out.reshape(-1), np.arange(lanes, dtype=np.int64)
@@ -115,14 +118,15 @@ def _encode_lanes(rows: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.nd
         hit2 = e2 == x + 1
         hit1 = (e1 == x + 1) & ~hit2
         escape = ~(hit2 | hit1)
-        start = np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).astype(_U)
-        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f2 - f1)).astype(_U)
+        start = f2 * ~hit2 + f1 * escape
+        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f2 - f1))
         r = span >> _U(W_BITS)
-        low += r * start
-        span = r * size
+        low += r * start.view(_U)
+        span = r * size.view(_U)
         r = span >> bits
-        low += np.where(escape, r * cum[x], _U(0))
-        span = r * np.where(escape, freq[x], _U(whole))
+        own = np.where(escape, x, none)
+        low += r * cum[own]
+        span = r * freq[own]
         over = np.flatnonzero(low >> _U(2 * DIGIT))
         if len(over):
             low[over] &= _U((1 << 56) - 1)
@@ -148,33 +152,35 @@ def _decode_lanes(digits: np.ndarray, used: np.ndarray, length: int, freq: np.nd
     slots = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
     whole = len(slots)
     bits = _U(whole.bit_length() - 1)
-    cum = np.r_[0, np.cumsum(freq)[:-1]].astype(_U)
-    freq = freq.astype(_U)
+    none = len(freq)
+    cum = np.r_[0, np.cumsum(freq)[:-1], 0].astype(_U)
+    freq = np.r_[freq, whole].astype(_U)
     wide = int(used.max(initial=0)) + 3
     code_in = np.zeros((lanes, wide), _U)
     code_in[np.arange(wide) < used[:, None]] = digits
     flat, at = code_in.reshape(-1), np.arange(lanes, dtype=np.int64) * wide + 2
     last = np.arange(lanes, dtype=np.int64) * wide + wide - 1
-    model = _Model(lanes)
+    model = _Model(lanes, none)
     code = (code_in[:, 0] << _U(DIGIT)) | code_in[:, 1]
     span = np.full(lanes, (1 << 56) - 1, _U)
     columns = np.empty((length, lanes), np.int64)
     for t in range(length):
         e2, e1, f2, f1 = model.predict()
         r = span >> _U(W_BITS)
-        v = np.minimum(code // r, _U(4095)).astype(np.int64)
+        v = np.minimum(code // r, _U(4095)).view(np.int64)
         hit2 = v < f2
         hit1 = (v < f2 + f1) & ~hit2
         escape = ~(hit2 | hit1)
-        start = np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).astype(_U)
-        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f2 - f1)).astype(_U)
-        code -= r * start
-        span = r * size
+        start = f2 * ~hit2 + f1 * escape
+        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f2 - f1))
+        code -= r * start.view(_U)
+        span = r * size.view(_U)
         r = span >> bits
-        x = slots[np.minimum(code // r, _U(whole - 1)).astype(np.int64)]
+        x = slots[np.minimum(code // r, _U(whole - 1)).view(np.int64)]
         x = np.where(escape, x, np.where(hit2, e2, e1) - 1).astype(np.int64)
-        code -= np.where(escape, r * cum[x], _U(0))
-        span = r * np.where(escape, freq[x], _U(whole))
+        own = np.where(escape, x, none)
+        code -= r * cum[own]
+        span = r * freq[own]
         short = np.flatnonzero(span < _U(1 << DIGIT))
         if len(short):
             code[short] = (code[short] << _U(DIGIT)) | flat[np.minimum(at[short], last[short])]
