@@ -153,6 +153,10 @@ class Collection:
     def _dead(self) -> DataFrame:
         return self._tombstones().unionByName(self._log_deletes()) if self.state.log else self._tombstones()
 
+    def known_ids(self) -> DataFrame:
+        """Ids that can't be inserted: of live documents and of those deleted since the last compaction."""
+        return self._stored().select("id").unionByName(self._pending().select("id")).unionByName(self._tombstones())
+
     def documents(self) -> DataFrame:
         """The live documents: doc_id, id, v, q, metadata, cluster_id."""
         rows = self._stored()
@@ -196,8 +200,7 @@ class Collection:
             if told["odd"] or told["null"]:
                 raise CollectionError("vectors must be finite and ids must not be null")
             twice = rows.groupBy("id").count().filter("count > 1").select("id")
-            known = self._stored().select("id").unionByName(self._pending().select("id")).unionByName(self._tombstones())
-            again = twice.unionByName(rows.select("id").join(known, "id", "left_semi")).limit(1).collect()
+            again = twice.unionByName(rows.select("id").join(self.known_ids(), "id", "left_semi")).limit(1).collect()
             if again:
                 raise CollectionError(f"document '{again[0][0]}' already exists")
             self._log(rows.withColumn("op", F.lit("insert")), told["n"])

@@ -15,8 +15,7 @@ def apply_batch(collection: Collection, ops: DataFrame) -> None:
     Inserts of known ids are left out, so a batch that comes again after a
     failure changes nothing.
     """
-    known = collection.documents().select("id").unionByName(collection._tombstones())
-    inserts = ops.filter("op = 'insert'").dropDuplicates(["id"]).join(known, "id", "left_anti")
+    inserts = ops.filter("op = 'insert'").dropDuplicates(["id"]).join(collection.known_ids(), "id", "left_anti")
     collection.insert_batch(inserts.select("id", "vector", "metadata"))
     for row in ops.filter("op = 'delete'").select("id").distinct().toLocalIterator():
         collection.delete(row["id"])

@@ -45,7 +45,7 @@ def test_filters(spark):
     assert hits({"k": "y"}) == [99] and hits({"k": "x", "n": "-3"}) == ["-3"] and hits({"none": "x"}) == []
     for empty in (None, {}, {"must": []}):
         assert filters.parse(empty).is_empty and len(hits(empty)) == len(JUNK) + 2
-    for bad in ({"price": 5}, [], "x", {"must": "x"}, {"must": [{"op": "ne", "field": "a", "value": "b"}]}, {"must": [{"op": "range", "field": "a", "gt": "x"}]}, {"must": [{"op": "eq", "field": "a"}]}, {"must": [{"op": "range", "field": "a", "over": 1}]}):
+    for bad in ({"price": 5}, [], "x", {"must": 1}, {"must": [{"op": "ne", "field": "a", "value": "b"}]}, {"must": [{"op": "range", "field": "a", "gt": "x"}]}, {"must": [{"op": "eq", "field": "a"}]}, {"must": [{"op": "range", "field": "a", "over": 1}]}):
         with pytest.raises(filters.FilterError):
             filters.parse(bad)
     both = filters.parse({"must": [{"op": "eq", "field": "a", "value": "b"}, {"op": "range", "field": "c", "gt": 1, "lte": 2}]})
