@@ -216,7 +216,7 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
                 *page.groups[k], *above[k], *tags_above[k], name[p] == "body",
             )
         )
-    return np.array(keep, np.int64), np.array(rows, float).reshape(len(keep), -1)
+    return np.array(keep, np.int64), np.array(rows, float) if rows else np.zeros((0, 0))
 
 
 def decode(page: Page, blocks: np.ndarray, logits: np.ndarray) -> set[int]:

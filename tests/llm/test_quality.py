@@ -50,7 +50,7 @@ def mixed():
     r = random.Random(5)
     rows = []
     for k in range(900):
-        text, junk = clean(r, int(np.exp(r.gauss(5, 0.7))) + 25), k % 9 == 0
+        text, junk = clean(r, int(np.exp(r.gauss(5, 0.7))) + 25), k % 11 == 0
         if junk:
             text = " ".join(w + "#$%" for w in text.split()) if k % 2 else " ".join(w.upper() + "!!" for w in text.split())
         rows.append((k, text, ["en", "de", None][k % 3], "hot" if k % 2 else f"s{k % 40}", len(text), *"fbkln", junk))
