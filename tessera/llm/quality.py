@@ -46,6 +46,8 @@ NAMES = list(FLOORS)
 P = len(NAMES)
 #: Share of a group's rows that the estimate rests on; most concentration steps; bins of a histogram.
 H, STEPS, BINS = 0.75, 12, 2048
+#: Groups whose estimates are broadcast; for more, rows and estimates are joined by a shuffle.
+GROUPS = 50_000
 #: Rejected beyond this many times the chi-squared quantile at H (a robust z of about 9 in one direction).
 CUTOFF = 8.0
 
@@ -167,7 +169,7 @@ def _grouped(rows: DataFrame, min_rows: int) -> DataFrame:
     by_lang = small.groupBy("g_lang").agg(F.sum("n").alias("pooled"))
     to = small.join(by_lang, "g_lang").select(*_KEY, F.when(F.col("pooled") >= min_rows, F.col("g_lang")).otherwise("\x01").alias("to"))
     return (
-        rows.join(to, _KEY, "left")
+        rows.join(common.checked_broadcast(common.written(to, "pooled"), GROUPS), _KEY, "left")
         .withColumns({"g_lang": F.coalesce("to", "g_lang"), "g_source": F.when(F.col("to").isNull(), F.col("g_source")).otherwise("\x01")})
         .drop("to")
     )
@@ -194,7 +196,8 @@ def _start(rows: DataFrame) -> DataFrame:
         return cells.groupBy(*_KEY).applyInPandas(middle, "g_lang string, g_source string, n long, mids array<double>")
 
     centres = common.written(medians(rows, F.col), "medians").select(*_KEY, "n", F.col("mids").alias("centre"))
-    spread = medians(rows.join(centres.select(*_KEY, "centre"), _KEY), lambda c: F.abs(F.col(c) - F.col("centre")[NAMES.index(c)]))
+    near = rows.join(common.checked_broadcast(centres.select(*_KEY, "centre"), GROUPS), _KEY)
+    spread = medians(near, lambda c: F.abs(F.col(c) - F.col("centre")[NAMES.index(c)]))
 
     def params(batches):
         for pdf in batches:
@@ -239,8 +242,9 @@ def _estimates(batches):
 
 def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
     """A concentration step: estimates from the H-th part of each group's rows nearest by the params."""
-    near = rows.join(params, _KEY).withColumn("bin", _bin(_distance()))
-    near = near.join(_reach(near), _KEY).filter("bin <= reach")
+    near = rows.join(common.checked_broadcast(params, GROUPS), _KEY).withColumn("bin", _bin(_distance()))
+    reach = common.checked_broadcast(common.written(_reach(near), "reach"), GROUPS)
+    near = near.join(reach, _KEY).filter("bin <= reach")
     off = [F.col(c) - F.col("centre")[k] for k, c in enumerate(NAMES)]
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(off)] + [F.sum(off[i] * off[j]).alias(f"q{i}_{j}") for i, j in _LOWER]
     agg = near.groupBy(*_KEY).agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("centre").alias("origin"), *sums)
@@ -256,7 +260,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         params, done = after, fell.isEmpty()
         if done:
             break
-    scale = _reach(rows.join(params, _KEY).withColumn("bin", _bin(_distance())))
+    scale = _reach(rows.join(common.checked_broadcast(params, GROUPS), _KEY).withColumn("bin", _bin(_distance())))
     return common.written(params.join(scale.select(*_KEY, F.greatest(_edge(F.col("reach")) / _chi2(H, P), F.lit(0.05)).alias("scale")), _KEY), "mcd")
 
 
@@ -264,13 +268,13 @@ def judged(docs: DataFrame, min_rows: int = 200, cutoff: float = CUTOFF) -> Data
     """One row for each row of docs: doc_id, the counts, base_failed, distance and kept."""
     rows = common.written(measured(docs), "quality")
     passed = common.written(_grouped(rows.filter(~F.col("base_failed")).select("lang", "source", *NAMES), min_rows).drop("lang", "source"), "vectors")
-    params = estimates(passed).filter(F.col("n") >= min_rows).select(*_KEY, "centre", "whiten", "scale")
+    params = common.checked_broadcast(estimates(passed).filter(F.col("n") >= min_rows).select(*_KEY, F.struct("centre", "whiten", "scale").alias("m")), GROUPS)
     # rows of small groups look their pooled estimate up in two steps more
     lang, source = F.coalesce(F.col("lang").cast("string"), F.lit("\x00")), F.coalesce(F.col("source").cast("string"), F.lit("\x00"))
     keyed = rows.withColumns({"g_lang": lang, "g_source": source})
     for step in ({}, {"g_source": F.lit("\x01")}, {"g_lang": F.lit("\x01"), "g_source": F.lit("\x01")}):
         name = f"m{len([c for c in keyed.columns if c.startswith('m_')])}"
-        keyed = keyed.withColumns(step).join(params.select(*_KEY, F.struct("centre", "whiten", "scale").alias(f"m_{name}")), _KEY, "left")
+        keyed = keyed.withColumns(step).join(params.withColumnRenamed("m", f"m_{name}"), _KEY, "left")
     models = [c for c in keyed.columns if c.startswith("m_")]
     best = keyed.withColumn("m", F.coalesce(*models)).withColumns({"centre": F.col("m.centre"), "whiten": F.col("m.whiten")})
     distance = F.when(~F.col("base_failed"), _distance() / F.col("m.scale"))
@@ -281,4 +285,4 @@ def judged(docs: DataFrame, min_rows: int = 200, cutoff: float = CUTOFF) -> Data
 def keep_good(docs: DataFrame, min_rows: int = 200, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of docs that are kept, all columns as they are; of rows with one doc_id, all or none are kept."""
     bad = judged(docs, min_rows, cutoff).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
