@@ -44,7 +44,7 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "l": "i"}
 #: Signs that stand for letters inside a word.
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t"}
-_SIGN_IN_WORD = re.compile(r"(?<=\w)[@$!|€+](?=\w)")
+_SIGN_IN_WORD = re.compile(r"(?<=\w)[@$!|€+]+(?=\w)")
 SHORTEST, LONGEST = 3, 10
 
 
@@ -72,7 +72,7 @@ def fold(text: str | None) -> str:
     """The text in folded letters, words set apart by spaces, one at either end."""
     text = unicodedata.normalize("NFC", text or "").lower()
     if any(s in text for s in SIGNS):
-        text = _SIGN_IN_WORD.sub(lambda m: SIGNS[m[0]], text)
+        text = _SIGN_IN_WORD.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
     return f" {text.translate(_FOLD)} "
 
 
@@ -238,7 +238,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_000) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000) -> Lexicon:
     """A lexicon from at most max_labelled labelled rows that are not held out."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
