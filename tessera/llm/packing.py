@@ -118,12 +118,13 @@ def _in_powers(pieces: list[Piece], used: int) -> Iterator[list[Piece]]:
         yield out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, words=common.SPACED_WORDS, length: int = LENGTH, windows: int = OPEN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, words=common.SPACED_WORDS, length: int = LENGTH, windows: int = OPEN, cached: int = 600_000) -> DataFrame:
     """The pieces of all documents (doc_id, text) in sequences of at most ``length`` ids.
 
     Columns: doc_id, start (the document's ids before the piece), length, ids
     (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset (the
-    piece's place in its sequence).
+    piece's place in its sequence).  ``cached`` bounds the words a Python worker
+    remembers, twice that many in all; fewer take less memory and more time.
     """
     common.bounded_batches(docs.sparkSession)
     longs = [T.StructField(c, T.LongType()) for c in ("start", "length")]
@@ -134,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, words=common.SPACED_WORDS
     arrow = common.arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, packer = common.word_cache(tokenizer, words), Packer(length, windows)
+        cache, packer = common.word_cache(tokenizer, words, cached), Packer(length, windows)
         end = np.array([end_id], np.uint32)
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
