@@ -118,7 +118,7 @@ class Collection:
     def _forget(self) -> None:
         self._ops: DataFrame | None = None
         self._centroids: Centroids | None = None
-        self._live_clusters: set[int] | None = None
+        self._live_clusters: dict[int, int] | None = None
 
     def _empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
@@ -137,12 +137,13 @@ class Collection:
 
     def _stored(self) -> DataFrame:
         """Documents of all generations, tombstoned ones too."""
-        out = self._empty(DOCS)
+        out = None
         for g in self.state.readable:
             rows = self.spark.read.schema(DOCS).parquet(f"{self.path}/{g}/docs")
             gone = self.state.moved.get(g)
-            out = out.unionByName(rows.filter(~F.col("cluster_id").isin(gone)) if gone else rows)
-        return out
+            rows = rows.filter(~F.col("cluster_id").isin(gone)) if gone else rows
+            out = rows if out is None else out.unionByName(rows)
+        return self._empty(DOCS) if out is None else out
 
     def _tombstones(self) -> DataFrame:
         """Ids that are deleted since the last compaction."""
@@ -178,9 +179,10 @@ class Collection:
             self._centroids = Centroids(np.array([r["cluster_id"] for r in rows], np.int64), matrix, [list(r["neighbors"]) for r in rows])
         return self._centroids
 
-    def _live(self) -> set[int]:
+    def _live(self) -> dict[int, int]:
+        """Live documents by cluster, counted once for each state."""
         if self._live_clusters is None:
-            self._live_clusters = {r[0] for r in self.documents().select("cluster_id").distinct().collect()}
+            self._live_clusters = {r[0]: r[1] for r in self.documents().groupBy("cluster_id").count().collect()}
         return self._live_clusters
 
     # -- writes -------------------------------------------------------------------
@@ -385,7 +387,7 @@ class Collection:
         q, wanted = self._query(query), filters.parse(where)
         with self.lease() as docs:
             hits = self._hits(S.exact_topk(docs, q, k, wanted))
-            return SearchResult(hits, SearchStats(len(self._routing().ids), docs.count()))
+            return SearchResult(hits, SearchStats(len(self._routing().ids), sum(self._live().values())))
 
     def batch_search(self, queries: DataFrame, k: int, where: object = None, exact: bool = True, probe_clusters: int = 12) -> DataFrame:
         """(qid, id, score, rank) for many queries (qid, vector) in one plan."""
@@ -400,7 +402,7 @@ class Collection:
     # -- administration -----------------------------------------------------------
 
     def _counts(self) -> tuple[int, int]:
-        live = self.documents().count()
+        live = sum(self._live().values())
         dead = self._dead().distinct().count() if self.state.log or self.state.tombstones else 0
         return live, dead
 

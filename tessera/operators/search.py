@@ -19,8 +19,8 @@ from tessera.functions.filters import Filter
 
 #: The shortlist by codes holds so many times k rows.
 WIDEN = 4
-#: Queries of one block of a batch search.
-BLOCK = 512
+#: Queries of one block of a batch search, and rows that are scored against it at once.
+BLOCK, ROWS = 4096, 1024
 
 
 def _ordered(df: DataFrame, score: str, key: str = "id") -> list[Column]:
@@ -79,17 +79,16 @@ def _batch(rows: DataFrame, qids: np.ndarray, matrix: np.ndarray, k: int) -> Dat
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf) or not len(wide) or not k:
-                continue
-            scores = wide @ np.stack(pdf["v"].to_numpy()).astype(np.float64).T
-            ids = pdf["id"].to_numpy()
-            if scores.shape[1] > k:
-                # all that tie with the k-th stay: which of them count is decided by id later
-                floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
-                at = np.nonzero(scores >= floor - 1e-12)
-            else:
-                at = np.nonzero(np.ones_like(scores, bool))
-            yield pd.DataFrame({"qid": qids[at[0]], "id": ids[at[1]], "score": scores[at]})
+            for start in range(0, len(pdf) if len(wide) and k else 0, ROWS):
+                part = pdf.iloc[start : start + ROWS]
+                scores = wide @ np.stack(part["v"].to_numpy()).astype(np.float64).T
+                if scores.shape[1] > k:
+                    # all that tie with the k-th stay: which of them count is decided by id later
+                    floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+                    at = np.nonzero(scores >= floor - 1e-12)
+                else:
+                    at = np.nonzero(np.ones_like(scores, bool))
+                yield pd.DataFrame({"qid": qids[at[0]], "id": part["id"].to_numpy()[at[1]], "score": scores[at]})
 
     return rows.mapInPandas(best, "qid long, id string, score double")
 
