@@ -34,6 +34,8 @@ from tessera.llm import common
 TILE = 2048
 #: Rows and columns of the blocks in which a tile pair is compared.
 BLOCK = 512
+#: Parts that the rows of one component are dealt to when they get its name.
+SALTS = 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -263,11 +265,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     fps = common.written(fingerprints(docs, shingle), "fingerprints")
     classes = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     linked = components(links(classes.select("fp"), radius))
-    # class by class: linked ones share the least id of their component
-    labelled = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    of_label = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_class = labelled.join(of_label, "label").select("fp", "component_id")
-    return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    # linked classes share the least id of their component; a component may be large, so its rows are salted
+    labelled = common.written(classes.join(linked.withColumnRenamed("node", "fp"), "fp"), "labels").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    of_label = labelled.groupBy("label").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_class = labelled.join(of_label.withColumn("salt", F.col("salt").cast("long")), ["label", "salt"]).select("fp", "component_id")
+    of_class = classes.join(of_class, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    # written, so that this join stands alone and a fingerprint that many documents share can be split
+    return fps.join(common.written(of_class, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
