@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -229,28 +230,56 @@ class WordCache:
         for w, e in zip(single, model.encode_batch_fast(single, add_special_tokens=False)):
             known[w] = np.array(e.ids, np.uint32).tobytes()
 
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of words, each given once."""
+        found = list(map(self.known.get, words))
+        new = {w for w, x in zip(words, found) if x is None}
+        if not new:
+            return found
+        if len(self.known) + len(new) > self.limit:
+            self.old, self.known = self.known, {}
+        if self.old:
+            again = [w for w in new if w in self.old]
+            self.known.update([(w, self.old[w]) for w in again])
+            new.difference_update(again)
+        if new:
+            self._learn(new)
+        known = self.known
+        return [known[w] if x is None else x for w, x in zip(words, found)]
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """An array of uint32 ids for each text."""
         out = []
         for start in range(0, len(texts), 64):
             cut = [self._cut(t) for t in texts[start : start + 64]]
-            found = [list(map(self.known.get, words)) for words in cut]
-            lacking = [k for k, ids in enumerate(found) if None in ids]
-            new = {w for k in lacking for w, x in zip(cut[k], found[k]) if x is None}
-            if len(self.known) + len(new) > self.limit:
-                self.old, self.known = self.known, {}
-            if self.old:
-                again = [w for w in new if w in self.old]
-                self.known.update([(w, self.old[w]) for w in again])
-                new.difference_update(again)
-            if new:
-                self._learn(new)
-            known = self.known
-            for k in lacking:
-                found[k] = [known[w] if x is None else x for w, x in zip(cut[k], found[k])]
-            out += [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
+            own = list(set().union(*cut))
+            ids = dict(zip(own, self._look_up(own)))
+            out += [np.frombuffer(b"".join(map(ids.__getitem__, words)), np.uint32) for words in cut]
         return out
 
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        """The same for an Arrow array (null: empty).
+
+        Where the model drops white space, Arrow cuts and numbers the words, so
+        only distinct ones become Python objects.
+        """
+        texts = pc.fill_null(texts, "")
+        if self.spaced or pc.any(pc.match_substring_regex(texts, "[\\x1c-\\x1f]")).as_py():  # Arrow takes these four for white space
+            return self.encode_batch(texts.to_pylist())
+        cut = pc.utf8_split_whitespace(pc.ascii_lower(texts) if self.lower else texts)
+        coded = cut.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        found = self._look_up([w or " " for w in words])
+        found = [x if w else b"" for w, x in zip(words, found)]
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) >> 2
+        counts = sizes[at]
+        ends = np.cumsum(counts, dtype=np.int64)
+        first = (np.cumsum(sizes) - sizes)[at] - (ends - counts)
+        ids = flat[np.repeat(first, counts) + np.arange(len(first) and ends[-1])]
+        edges = np.r_[0, ends][cut.offsets.to_numpy()]
+        return np.split(ids, edges[1:-1])
+
 
 _caches: dict[tuple, WordCache] = {}
 

@@ -283,7 +283,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, words=common.BARE_
     texts are empty, null ids come first, rows of one id stay rows of their own.
     """
     spark = docs.sparkSession
-    common.bounded_batches(spark)
+    common.bounded_batches(spark, 2000)  # more rows, fewer distinct words for each; bytes are bounded too
     at, parts = common.range_of(docs, "doc_id", common.shuffle_parts(spark))
     dealt = docs.select("doc_id", "text", F.coalesce(at, F.lit(0)).cast("int").alias("part")).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "text")
     schema = common.arrow_schema(_FILES)
@@ -304,7 +304,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, words=common.BARE_
             return common.to_batch(row, schema)
 
         for batch in batches:
-            for doc_id, of, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), cache.encode_batch(common.texts_of(batch))):
+            for doc_id, of, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), cache.encode_column(batch.column(1))):
                 if part != of:
                     if held:
                         yield close()

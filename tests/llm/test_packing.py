@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -57,6 +58,10 @@ def test_word_cache_equals_whole_texts():
             cache = common.WordCache(path, words, limit)
             assert [x.tolist() for x in cache.encode_batch(texts)] == want
             assert [x.tolist() for x in cache.encode_batch(texts[::-1])] == want[::-1]
+            plain = [k for k, t in enumerate(texts) if not any(c in t for c in "\x1c\x1d\x1e\x1f")]
+            assert [x.tolist() for x in cache.encode_column(pa.array([texts[k] for k in plain] + [None]))] == [want[k] for k in plain] + [[]]
+            assert [x.tolist() for x in cache.encode_column(pa.array(texts, pa.string()))] == want
+            assert sum(map(len, cache.encode_column(pa.array([], pa.string())))) == 0
 
 
 def test_pack(spark):
