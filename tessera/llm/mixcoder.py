@@ -275,12 +275,13 @@ _FILES = T.StructType(
 )
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int, words=common.BARE_WORDS, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, end_id: int, words=common.BARE_WORDS, file_tokens: int = FILE_TOKENS, cached: int = 600_000) -> DataFrame:
     """The token files of docs (doc_id, text) as a written table, in ascending doc_id order by (part, file).
 
     Texts go once over the network, to consecutive ranges of doc_id; each range
     is encoded as a stream, so a task holds one file's ids at a time.  Null
     texts are empty, null ids come first, rows of one id stay rows of their own.
+    ``cached`` bounds the words that a Python worker remembers.
     """
     spark = docs.sparkSession
     common.bounded_batches(spark, 2000)  # more rows, fewer distinct words for each; bytes are bounded too
@@ -289,7 +290,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, words=common.BARE_
     schema = common.arrow_schema(_FILES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.word_cache(tokenizer, words)
+        cache = common.word_cache(tokenizer, words, cached)
         end = np.array([end_id], np.uint32)
         held_ids: list = []
         held: list[np.ndarray] = []
