@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import contextlib
 import json
-import math
 import re
 import threading
 from collections import Counter
@@ -418,7 +417,7 @@ class Collection:
             return {
                 "name": s.name, "dimension": s.dimension, "live_documents": live, "deleted_documents": dead, "clusters": len(self._routing().ids), "wal_bytes": log,
                 "disk_bytes": docs + log + sum(self.store.size(f"{self.path}/{p}") for p in ("CURRENT", s.clusters, s.tombstones) if p),
-                "memory_estimate_bytes": live * 16 + (live // 256 + 1) * s.dimension * 4, "readable_generations": len(s.readable), "retired_generations": len(s.retired),
+                "memory_estimate_bytes": memory_estimate(live, s.dimension), "readable_generations": len(s.readable), "retired_generations": len(s.retired),
             }
 
     def diagnostics(self) -> dict:
@@ -434,7 +433,3 @@ def memory_estimate(documents: int, dimension: int) -> int:
     """Bytes that an in-memory directory of the documents and centroids would take."""
     return documents * 16 + (documents // 256 + 1) * dimension * 4
 
-
-def is_number(text: str) -> bool:
-    """True for strings that a range filter reads as a number."""
-    return re.match(filters.NUMBER.replace("\\z", "\\Z"), text) is not None and not math.isnan(float(text))

@@ -122,7 +122,7 @@ def neighbor_lists(ids: np.ndarray, matrix: np.ndarray, degree: int) -> list[lis
         for row in range(n):
             for other in list(out[row]):
                 out[other].add(row)
-    return [sorted(int(ids[k]) for k in own)[:degree] if len(own) > degree else sorted(int(ids[k]) for k in own) for own in out]
+    return [sorted(int(ids[k]) for k in own)[:degree] for own in out]
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
