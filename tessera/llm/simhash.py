@@ -11,6 +11,12 @@ own, so no task gets an unbounded group.  A unit returns links that connect
 what it found connected, at most one for each fingerprint, not all pairs;
 components come from alternating star contraction.
 
+``keep_dissimilar`` asks for a similarity instead: copies that share 0.8 of
+their word shingles differ in about ten bits, too many for bit blocks to be
+selective.  There buckets are by ``BANDS`` keys of ``ROWS`` minimal shingle
+hashes, fingerprints in a bucket are compared at the radius ``WIDE``, and what
+is near is confirmed by the exact Jaccard similarity of the shingle sets.
+
 Defined results: null or empty texts and texts without words have fingerprint
 zero and link like any other; equal rows are kept, each with the same class;
 an empty table gives an empty result; null ids never name a component unless
@@ -36,21 +42,34 @@ TILE = 2048
 BLOCK = 512
 #: Parts that the rows of one component are dealt to when they get its name.
 SALTS = 16
+#: Keys of a text's shingle set and minimal hashes of a key: at a similarity of 0.8, all keys of two texts differ for 7 pairs in a million.
+BANDS, ROWS = 30, 5
+#: Bits in which fingerprints of texts of a similarity of 0.8 may differ (9.7 are expected, 24 are five deviations more).
+WIDE = 24
+#: Texts of a bucket that are all compared with each other; a bucket that is dealt to more than one task.
+ALL_PAIRS, LARGE = 64, 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The fingerprint of a text, unsigned."""
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The XXH64 hashes of a text's word shingles, in order, eight bytes (big-endian) each; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.empty((0, 8), np.uint8)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     ends = ends[len(words) - n :].tolist()
     digest = xxhash.xxh64_digest
-    raw = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends)]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends)]), np.uint8).reshape(-1, 8)
+
+
+def _voted(raw: np.ndarray) -> int:
+    """The fingerprint that shingle hashes vote for."""
+    n = len(raw)
+    if not n:
+        return 0
     if n < 256:
         votes = np.unpackbits(raw, axis=1).sum(axis=0)
     else:
@@ -58,6 +77,11 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The fingerprint of a text, unsigned."""
+    return _voted(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of each row."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
@@ -285,3 +309,148 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     if repeated.isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id"])
+
+
+# -- copies by similarity --------------------------------------------------------
+
+_FACTORS = np.random.default_rng(5).integers(0, 2**31, (2, BANDS * ROWS)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """The keys of a set of shingle hashes (uint64), signed; sets of a similarity of 0.8 share one but for 7 in a million."""
+    low = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
+    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    for k in range(0, len(low), 2048):
+        least = np.minimum(least, (low[k : k + 2048, None] * _FACTORS[0] + _FACTORS[1]).min(axis=0))
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(rows)]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sets given as sorted distinct values; 1 for two empty ones."""
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both / (a.size + b.size - both) if a.size or b.size else 1.0
+
+
+def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle).view(">u8").ravel().astype(np.uint64))
+
+
+def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs with _set (a hash of the shingle set), _fp and _keys."""
+    schema = T.StructType([*docs.schema, T.StructField("_set", T.LongType()), T.StructField("_fp", T.LongType()), T.StructField("_keys", T.ArrayType(T.LongType()))])
+    arrow = common.arrow_schema(schema)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets, fps, keys = [], [], []
+        for text in common.texts_of(batch):
+            raw = shingle_hashes(text, shingle)
+            own = np.unique(raw.view(">u8").ravel().astype(np.uint64))
+            sets.append(xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63)
+            fps.append(_voted(raw))
+            keys.append(band_keys(own))
+        more = [pa.array(sets, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*[c.cast(f.type) if c.type != f.type else c for c, f in zip(batch.columns, arrow)], *[c.cast(f.type) for c, f in zip(more, list(arrow)[-3:])]], schema=arrow)
+
+    return common.map_batches(docs, run, schema)
+
+
+def _rotated(fps: np.ndarray, by: np.ndarray) -> np.ndarray:
+    by = by.astype(np.uint64) & np.uint64(63)
+    return (fps << by) | (fps >> ((np.uint64(64) - by) & np.uint64(63)))
+
+
+def _near_in_buckets(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets in one bucket whose fingerprints are near; rows (key, part, set, fp) sorted by key and part.
+
+    In a bucket of up to ``ALL_PAIRS`` all pairs; in a larger one each with its next
+    in the order of the fingerprint's bits from a place that the key picks, and with
+    the first of its stretch of that order, so that links stay in proportion.
+    """
+    starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+    sizes = np.diff(np.r_[starts, len(rows)])
+    fps = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
+    big = np.repeat(sizes > ALL_PAIRS, sizes)
+    last = np.repeat(starts + sizes, sizes)
+    if big.any():
+        order = np.lexsort((np.where(big, _rotated(fps, rows[:, 0]), 0), np.repeat(np.arange(len(starts)), sizes)))
+        rows, fps = rows[order], fps[order]
+    pairs = []
+    for d in range(1, ALL_PAIRS):
+        i = np.flatnonzero((np.arange(len(rows)) + d < last) & (~big if d > 3 else True))
+        if not len(i):
+            break
+        pairs.append((i, i + d))
+    at = np.arange(len(rows)) - np.repeat(starts, sizes)
+    i = np.flatnonzero(big & (at % ALL_PAIRS > 3))
+    pairs.append((i - at[i] % ALL_PAIRS, i))
+    a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    near = np.bitwise_count(fps[a] ^ fps[b]) <= WIDE
+    x, y = rows[a[near], 2], rows[b[near], 2]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = common.arrow_schema(_LINKS)
+    held = np.empty((0, 4), np.int64)
+    for batch in batches:
+        rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
+        rows = np.concatenate([held, rows]) if len(held) else rows
+        other = (rows[:, :2] != rows[-1, :2]).any(axis=1)
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        held = rows[cut:]
+        if cut:
+            a, b = _near_in_buckets(rows[:cut])
+            yield common.to_batch({"a": a, "b": b}, schema)
+    if len(held):
+        a, b = _near_in_buckets(held)
+        yield common.to_batch({"a": a, "b": b}, schema)
+
+
+def similar(sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of distinct shingle sets (_set, _fp, _keys, text; a row each) of at least the similarity."""
+    spark = sets.sparkSession
+    keyed = common.written(sets.select(F.explode("_keys").alias("key"), "_set", "_fp"), "keys")
+    sizes = common.written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    keyed = keyed.join(sizes, "key")
+    # parts of a large bucket: leading bits of the fingerprint, from a place that the key picks
+    bits = F.ceil(F.log2(F.col("n") / LARGE)).cast("int")
+    turned = F.expr("shiftleft(_fp, cast(key & 63 as int)) | shiftrightunsigned(_fp, cast((64 - (key & 63)) & 63 as int))")
+    part = F.when(F.col("n") > LARGE, F.call_function("shiftrightunsigned", turned, 64 - bits)).otherwise(F.lit(0).cast("long"))
+    common.bounded_batches(spark, 50_000)
+    rows = keyed.select("key", part.alias("part"), "_set", "_fp").repartition(common.shuffle_parts(spark), "key", "part").sortWithinPartitions("key", "part")
+    pairs = common.written(rows.mapInArrow(_bucket_pairs, _LINKS).distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
+    texts = common.written(sets.select("_set", "text").join(asked, "_set", "left_semi"), "texts")
+    of = lambda name: texts.select(F.col("_set").alias(name), F.col("text").alias(f"text_{name}"))
+
+    def confirmed(batch: pa.RecordBatch) -> dict:
+        a, b = (common.values_of(batch, c) for c in ("a", "b"))
+        known: dict[int, np.ndarray] = {}
+        for c, own in (("text_a", a), ("text_b", b)):
+            for text, k in zip(common.texts_of(batch, c), own):
+                if k not in known:
+                    known[k] = _shingle_set(text, shingle)
+        kept = [(x, y) for x, y in zip(a, b) if jaccard(known[x], known[y]) >= similarity]
+        return {"a": [x for x, _ in kept], "b": [y for _, y in kept]}
+
+    return common.map_batches(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b"), confirmed, _LINKS)
+
+
+def keep_dissimilar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without all but one row of each group of copies: the one with the least doc_id (a null one is last).
+
+    Copies are texts whose sets of word shingles have at least the Jaccard
+    similarity, and what they lead to.  Rows are told apart by a number of their
+    own, so null and repeated ids do no harm.
+    """
+    rows = common.written(_sketched(docs, shingle).withColumn("_row", F.monotonically_increasing_id()), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), "_row")
+    classes = common.written(rows.groupBy("_set").agg(F.min(first).alias("least")), "classes")
+    lead = classes.select(F.col("least._row").alias("_row"))
+    sets = rows.select("_row", "_set", "_fp", "_keys", "text").join(lead, "_row", "left_semi")
+    edges = similar(sets, shingle, similarity)
+    label = components(edges).withColumnRenamed("node", "_set")
+    named = classes.join(label, "_set", "left").select(F.coalesce("label", "_set").alias("label"), "least")
+    kept = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
+    return rows.join(common.written(kept, "kept"), "_row", "left_semi").select(*docs.columns)

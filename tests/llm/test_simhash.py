@@ -93,3 +93,44 @@ def test_keep_one(spark):
     assert len(got) == len(set(got)) and set(got) == want
     assert simhash.keep_one(empty(spark)).count() == 0
     assert kept.filter(F.col("doc_id") == 15).count() == 1
+
+
+def _edited(r, text, share):
+    """text with words changed here and there, so that about that share of its 5-word shingles stays."""
+    words = text.split()
+    for k in r.sample(range(0, len(words) - 5, 6), max(1, round(len(words) * (1 - share) / 5))):
+        words[k] = f"new{r.randrange(10**6)}"
+    return " ".join(words)
+
+
+def _similarity(a, b):
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_edited_copies_go(spark, monkeypatch):
+    """Copies of a similarity from 0.8 are found by exact similarity; those below stay, and so does a group larger than a bucket's all pairs."""
+    r, rows = random.Random(3), []
+    text = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    pairs = []
+    for k in range(60):
+        a = text(r.randint(50, 300))
+        b = _edited(r, a, r.uniform(0.75, 0.95))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        pairs.append((2 * k + 1, _similarity(a, b)))
+    base = text(120)
+    rows += [(1000 + k, _edited(r, base, 0.95)) for k in range(200)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t), *"fbkln") for k, t in rows], docs_schema()).repartition(5)
+    for large in (4096, 64):
+        monkeypatch.setattr(simhash, "LARGE", large)
+        kept = {x["doc_id"] for x in simhash.keep_dissimilar(docs).collect()}
+        assert {k for k, s in pairs if s < 0.8} == {k for k, _ in pairs} & kept
+        assert {k for k in kept if k >= 1000} == {1000}
+    assert len([s for _, s in pairs if s >= 0.8]) > 15 < len([s for _, s in pairs if s < 0.8])
+    assert simhash.keep_dissimilar(empty(spark)).count() == 0
+
+
+def docs_schema():
+    from .helpers import SCHEMA
+
+    return SCHEMA
