@@ -89,3 +89,9 @@ def test_tables(spark):
     assert told == {1: (1, "email:1"), 2: (0, ""), 3: (3000, "card:3000")}
     assert pii.with_surrogates(empty(spark), b"k").count() == 0 == pii.found(empty(spark), b"k").count()
     assert pii.with_surrogates(table(spark), b"k").count() == table(spark).count()
+
+
+@pytest.mark.parametrize("text", ["(Mr. Smith) left", '"Dr. Brown" wrote', "Contact:Mrs Jones", "(Anna Weber)", "name=Anna Weber", "«г-н Петров»", "-Herr Weber-"])
+def test_names_beside_signs(text):
+    new, done = pii.replace(text, S)
+    assert done and not any(re.search(rf"\b{name}\b", new) for name in ("Smith", "Brown", "Jones", "Anna", "Weber", "Петров"))
