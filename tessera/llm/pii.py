@@ -65,6 +65,11 @@ _NUMBER = re.compile(
     r"|(?P<card>(?<![\d-])\d{4}([ -])\d{4}\5\d{4}\5\d{4}(?![\d-])|(?<!\d)\d{13,19}(?!\d))"
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+#: Characters of an account by country.
+_IBAN_LENGTH = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 "
+    "LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{30,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
 _KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AIza", "sk-", "xox")
 _ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth)[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]{6,})")
@@ -215,6 +220,16 @@ def _iban_check(country: str, body: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
 
 
+def _iban_span(text: str, at: int) -> tuple[int, int] | None:
+    """The account at the start of the text by its check digits: as long as its country has them, else the whole; what follows it may look like more of it."""
+    ends = [m.end() for m in re.finditer(r"[A-Z0-9](?![A-Z0-9])", text) if len(text[: m.end()].replace(" ", "")) == _IBAN_LENGTH.get(text[:2])]
+    for end in (*ends, len(text)):
+        plain = text[:end].replace(" ", "")
+        if int(plain[2:4]) == _iban_check(plain[:2], plain[4:]):
+            return at, at + end
+    return None
+
+
 def _laid_out(digits: str, text: str) -> str:
     rest = iter(digits)
     return "".join(next(rest) if c.isdigit() else c for c in text)
@@ -243,9 +258,12 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             if m.lastgroup == "ip" and max(map(int, m[0].split("."))) > 255:
                 continue
             found.append((*m.span(), m.lastgroup or "card"))
-        for m in _IBAN.finditer(text, max(0, a - 4), min(len(text), b + 12)):
-            if int(m[0].replace(" ", "")[2:4]) == _iban_check(m[0][:2], m[0].replace(" ", "")[4:]):
-                found.append((*m.span(), "iban"))
+    at = 0
+    while m := _IBAN.search(text, at):
+        span = _iban_span(m[0], m.start())
+        at = span[1] if span else m.start() + 1  # an account may start within what only looked like one
+        if span:
+            found.append((*span, "iban"))
     if any(s in text for s in _KEY_STARTS):
         found += [(*m.span(), "secret") for m in _KEY.finditer(text)]
     if "=" in text or ":" in text:
