@@ -7,11 +7,17 @@ assigned secrets, and names after honorifics or with a known given name.
 Surrogates come from a keyed permutation of the strings of the same format
 (cycle-walking Feistel network), so they keep type, length, case, separators,
 script and check digits, and different originals never share one: distinctness
-and coreference hold across a corpus with nothing shared between tasks.  Names
-are replaced part by part: given names by ones of the same gender and script,
-surnames by syllables of the same script; as names do not have a fixed format,
-a text's surrogates are checked against each other and against its originals,
-and a taken one is drawn again.
+and coreference hold across a corpus with nothing shared between tasks.
+
+Names are replaced part by part, whatever else the text holds.  A known given
+name becomes another of the same gender and script, by a permutation of their
+list; any other word becomes another string of the same letters' kinds that is
+no known given name, by a permutation that moves every word.  A given name that
+is not known becomes a known one of its gender, a hyphen and such a string, so
+different names of a kind never share a surrogate, in a text or across texts.
+A known given name's surrogate may be the name of somebody else in the text,
+who has another surrogate then.  For the other kinds a text's surrogates are
+checked against its originals, and a taken one is drawn again.
 
 Defined results: null texts stay null; texts without entities come back as they
 are; equal rows are replaced alike; other columns are untouched, but n_chars
@@ -20,6 +26,7 @@ follows the new text where the table has it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -45,12 +52,6 @@ GIVEN = {
     ("GREEK", "f"): "Αγγελική Αικατερίνη Βασιλική Ελένη Ευαγγελία Ιωάννα Μαρία Σοφία".split(),
     ("GREEK", "m"): "Αλέξανδρος Βασίλης Γεώργιος Δημήτρης Ιωάννης Κωνσταντίνος Νικόλαος Παναγιώτης".split(),
 }
-#: Syllables of surnames by script.
-SYLLABLES = {
-    "LATIN": "ba bel cor dan del fen gar hal jen kel lor mar nev ol per quin ros sel tam van wes yar zel".split(),
-    "CYRILLIC": "ба вер гор дан ел жур зар кал лер мар нов ор пет рус сол тим фед хар шел яр".split(),
-    "GREEK": "βα γερ δαν ελ ζαρ θαλ καλ λερ μαρ νικ ορ πετ ρος σολ ταμ φερ χαρ".split(),
-}
 GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
 _WORDS = re.compile(r"\w+")
 _UPPER_WORD = r"[^\W\d_a-zà-öø-ÿа-яёα-ω][\w'’-]*"
@@ -97,14 +98,31 @@ class Surrogates:
                 break
         return n
 
-    def like(self, text: str, kind: str, turn: int = 0, hexadecimal: bool = False) -> str:
+    def restore(self, n: int, size: int, *tweak: object) -> int:
+        """The number whose place under permute is n."""
+        half = max(1, ((size - 1).bit_length() + 1) // 2)
+        while size > 1:
+            a, b = divmod(n, 1 << half)
+            for r in reversed(range(6)):
+                wide = b"".join(hashlib.blake2b(repr((tweak, half, r, a, k)).encode(), key=self.key).digest() for k in range(half // 512 + 1))
+                a, b = b ^ (int.from_bytes(wide, "big") & ((1 << half) - 1)), a
+            n = (a << half) | b
+            if n < size:
+                break
+        return n
+
+    def move(self, n: int, size: int, *tweak: object) -> int:
+        """The next of n on a keyed round through range(size): a permutation that leaves no number (but one alone) in its place."""
+        return self.restore((self.permute(n, size, *tweak) + 1) % size, size, *tweak)
+
+    def like(self, text: str, kind: str, turn: int = 0, hexadecimal: bool = False, moved: bool = False) -> str:
         """Another string with letters, digits and signs where this one has them."""
         pools = [_pool(c, hexadecimal) for c in text]
         n, size = 0, 1
         for c, pool in zip(text, pools):
             if pool:
                 n, size = n * len(pool) + pool.index(c), size * len(pool)
-        n = self.permute(n, size, kind, turn, "".join(p[:1] or c for c, p in zip(text, pools)))
+        n = (self.move if moved else self.permute)(n, size, kind, turn, "".join(p[:1] or c for c, p in zip(text, pools)))
         out = []
         for c, pool in zip(reversed(text), reversed(pools)):
             if pool:
@@ -176,19 +194,38 @@ class Surrogates:
         return self.like(text, "secret", turn, hexadecimal=re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None)
 
     def given(self, text: str, turn: int, gender: str) -> str:
-        names = GIVEN.get((_script(text), gender)) or GIVEN.get((_script(text), "fm"[self.draw("gender", text.casefold()) % 2]))
-        if not names:
-            return self.surname(text, turn)
-        plain = text.capitalize()
-        at = names.index(plain) if plain in names else self.draw("given", text.casefold()) % len(names)
-        return _cased(names[(self.permute(at, len(names), "given", gender) + turn) % len(names)], text)
+        if any(map(_known, text.split("-"))):
+            return "-".join(self._known_given(x) if _known(x) else self._unknown_given(x, gender) for x in text.split("-"))
+        return self._unknown_given(text, gender)
 
     def surname(self, text: str, turn: int) -> str:
-        parts = SYLLABLES.get(_script(text))
-        if not parts:
-            return self.like(text, "name", turn)
-        n = self.draw("surname", text.casefold(), turn)
-        return _cased("".join(parts[(n >> (16 * k)) % len(parts)] for k in range(3)), text)
+        if any(map(_known, text.split("-"))):  # as a given name, so that the two kinds' surrogates stay apart
+            return self.given(text, turn, "-")
+        return "-".join(map(self._word, text.split("-")))
+
+    def _known_given(self, text: str) -> str:
+        names = next(x for x in GIVEN.values() if text.capitalize() in x)
+        return _cased(names[self.move(names.index(text.capitalize()), len(names), "given", names[0])], text)
+
+    def _unknown_given(self, text: str, gender: str) -> str:
+        script = _script(text) if text else ""
+        names = GIVEN.get((script, gender)) or GIVEN.get((script, "fm"[self.draw("gender", text.lower()) % 2]))
+        own = "-".join(map(self._word, text.split("-")))
+        return own if not names else _cased(names[self.draw("given", text.lower()) % len(names)], text) + "-" + own
+
+    def _word(self, text: str) -> str:
+        """Another word of the same letters' kinds that is no known given name; words that differ by case alone stay such."""
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        new = low
+        while True:
+            new = self.like(new, "name", moved=True)
+            if not _known(new):
+                break
+        return "".join(n.upper() if c != d and len(n.upper()) == 1 else n for n, c, d in zip(new, text, low))
+
+
+def _known(text: str) -> bool:
+    return text.capitalize() in GENDER
 
 
 _LETTERS = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àâäéèêëîïôöùûüçñáíóúß"]
@@ -196,8 +233,15 @@ _POOLS = ["0123456789", *_LETTERS, *[x.upper() for x in _LETTERS[:3]]]
 _POOL_OF = {c: p for p in _POOLS for c in p}
 
 
+@functools.cache
+def _rare_pool(c: str) -> str:
+    """Other letters near c of the same case that are in no pool above."""
+    block = [chr(k) for k in range(ord(c) & ~255, (ord(c) & ~255) + 256)] if c.isalpha() else []
+    return "".join(x for x in block if x.isalpha() and x not in _POOL_OF and (x.islower(), x.isupper()) == (c.islower(), c.isupper()))
+
+
 def _pool(c: str, hexadecimal: bool = False) -> str:
-    pool = _POOL_OF.get(c, "")
+    pool = _POOL_OF.get(c) or _rare_pool(c)
     return pool[:6] if hexadecimal and c.isalpha() else pool
 
 
@@ -308,9 +352,9 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, str
         what, _, gender = kind.partition(" ")
         key = (what, own)
         if key not in chosen:
-            new = ""
-            for turn in range(64):
-                new = surrogates.given(own, turn, gender) if what == "given" else getattr(surrogates, what)(own, turn)
+            new = surrogates.given(own, 0, gender) if what == "given" else surrogates.surname(own, 0) if what == "surname" else ""
+            for turn in range(0 if new else 64):  # names do not depend on what else is in the text
+                new = getattr(surrogates, what)(own, turn)
                 holder = taken.get(new.casefold())
                 if new.casefold() not in originals and (holder is None or (holder[0], holder[1].casefold()) == (what, own.casefold())):
                     break

@@ -103,3 +103,30 @@ def test_bank_accounts_with_letters(text):
         new, done = pii.replace(around.format(text), S)
         assert [(k, a) for k, a, _ in done] == [("iban", text)] and text not in new
         assert re.sub("[A-Z]", "A", re.sub(r"\d", "0", done[0][2])) == re.sub("[A-Z]", "A", re.sub(r"\d", "0", text)) and done[0][2][:2] == text[:2]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(2, 300), st.integers(0, 3))
+def test_moves(size, tweak):
+    assert sorted(S.move(n, size, tweak) for n in range(size)) == list(range(size)) and all(S.move(n, size, tweak) != n for n in range(size))
+    assert all(S.restore(S.permute(n, size, tweak), size, tweak) == n for n in range(size))
+
+
+def test_names_do_not_depend_on_the_text():
+    """All known names of a list in one text, many unknown ones across texts: none shared, each the same everywhere."""
+    for (script, gender), names in pii.GIVEN.items():
+        last = {"LATIN": "Weber", "CYRILLIC": "Петров", "GREEK": "Παππάς"}[script]
+        done = pii.replace("; ".join(f"{n} {last}" for n in names), S)[1]
+        by = {a: b for _, a, b in done}
+        assert len(set(by.values())) == len(by) == len(names) + 1 and all(a != b for a, b in by.items()) and {pii.GENDER[by[n]] for n in names} == {gender}
+        assert all(dict((a, b) for _, a, b in pii.replace(f"({n} {last})", S)[1]) == {n: by[n], last: by[last]} for n in names)
+    seen = {}
+    for k in range(3000):
+        word = "".join(chr(97 + k // 26**j % 26) for j in range(3)).capitalize()
+        for _, a, b in pii.replace(f"Mr. {word} Q{word.lower()}", S)[1]:
+            assert seen.setdefault(a, b) == b != a
+    assert len({b.casefold() for b in seen.values()}) == len(seen) == 6000
+    for text in ("Mr. Łęőş", "Mr. Παππάς", "Mr. 王小明", "Mr. Ґєї", "Mr. O'Neil-Šmíd", "Mr. A"):
+        new, done = pii.replace(text, S)
+        assert len(done) == 1 and done[0][1] == text[4:] != done[0][2] and len(new) == len(text) and done[0][2][0].isupper() == text[4].isupper()
+    assert S.surname("SMITH", 0) == S.surname("Smith", 0).upper() and S.surname("Anna-Zed", 0) != S.given("Zed", 0, "f")
