@@ -14,9 +14,10 @@ Every step is a grouped aggregation over a narrow written table with one row
 for each document: a hot source is pre-aggregated in every task, and only sums
 and distance histograms are shuffled.
 
-Groups of fewer than ``min_rows`` rows share an estimate by language, and where
-that is too small too, one over all such rows; below that size nothing more
-than the base rules is held against a row.
+Rows of groups of fewer than ``min_rows`` rows are judged by an estimate over
+all rows of their language, those of large groups included, and where the
+language is too small too, by one over all rows of the table; a table below
+that size is held to the base rules only.
 
 Defined results: null and empty texts have no words and fail the base rule;
 null languages and sources are groups of their own; equal rows are counted each
@@ -161,18 +162,29 @@ def _edge(b: Column) -> Column:
 
 
 def _grouped(rows: DataFrame, min_rows: int) -> DataFrame:
-    """rows with the key of the group whose estimate judges them; too small groups pooled."""
+    """rows with the key of the group whose estimate they enter; also in the pools by language and over all that judge small groups.
+
+    A row of a small group enters pools only; a pool that judges no row is not made.
+    """
     lang, source = F.coalesce(F.col("lang").cast("string"), F.lit("\x00")), F.coalesce(F.col("source").cast("string"), F.lit("\x00"))
     rows = rows.withColumns({"g_lang": lang, "g_source": source})
     sizes = rows.groupBy(*_KEY).agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") < min_rows)
-    by_lang = small.groupBy("g_lang").agg(F.sum("n").alias("pooled"))
-    to = small.join(by_lang, "g_lang").select(*_KEY, F.when(F.col("pooled") >= min_rows, F.col("g_lang")).otherwise("\x01").alias("to"))
-    return (
-        rows.join(common.checked_broadcast(common.written(to, "pooled"), GROUPS), _KEY, "left")
-        .withColumns({"g_lang": F.coalesce("to", "g_lang"), "g_source": F.when(F.col("to").isNull(), F.col("g_source")).otherwise("\x01")})
-        .drop("to")
+    by_lang = sizes.groupBy("g_lang").agg(F.sum("n").alias("of_lang"), (F.min("n") < min_rows).alias("pooled"))
+    by_lang = common.written(by_lang, "languages")
+    # one number: whether a language is too small, so that its rows need the estimate over all
+    over_all = not by_lang.filter(F.col("of_lang") < min_rows).isEmpty()
+    to = sizes.join(by_lang, "g_lang").select(
+        *_KEY,
+        F.array_compact(
+            F.array(
+                F.when(F.col("n") >= min_rows, F.struct("g_lang", "g_source")),
+                F.when(F.col("pooled") & (F.col("of_lang") >= min_rows), F.struct(F.col("g_lang"), F.lit("\x01").alias("g_source"))),
+                F.when(F.lit(over_all), F.struct(F.lit("\x01").alias("g_lang"), F.lit("\x01").alias("g_source"))),
+            )
+        ).alias("to"),
     )
+    keyed = rows.join(common.checked_broadcast(common.written(to, "pooled"), GROUPS), _KEY).withColumn("to", F.explode("to"))
+    return keyed.withColumns({"g_lang": F.col("to.g_lang"), "g_source": F.col("to.g_source")}).drop("to")
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -269,7 +281,7 @@ def judged(docs: DataFrame, min_rows: int = 200, cutoff: float = CUTOFF) -> Data
     rows = common.written(measured(docs), "quality")
     passed = common.written(_grouped(rows.filter(~F.col("base_failed")).select("lang", "source", *NAMES), min_rows).drop("lang", "source"), "vectors")
     params = common.checked_broadcast(estimates(passed).filter(F.col("n") >= min_rows).select(*_KEY, F.struct("centre", "whiten", "scale").alias("m")), GROUPS)
-    # rows of small groups look their pooled estimate up in two steps more
+    # rows of small groups look the estimates by language and over all up in two steps more
     lang, source = F.coalesce(F.col("lang").cast("string"), F.lit("\x00")), F.coalesce(F.col("source").cast("string"), F.lit("\x00"))
     keyed = rows.withColumns({"g_lang": lang, "g_source": source})
     for step in ({}, {"g_source": F.lit("\x01")}, {"g_lang": F.lit("\x01"), "g_source": F.lit("\x01")}):

@@ -71,6 +71,21 @@ def test_small_tables_are_held_to_the_base_rules_only(spark, mixed):
     assert all(r["kept"] != r["base_failed"] for r in got)
 
 
+def test_rare_groups_are_judged_by_their_language_and_by_all(spark):
+    """Rows of small sources and rare languages in a table with hot sources, too few together for an estimate."""
+    r, rows, junk = random.Random(6), [], set()
+    for k in range(440):
+        text = clean(r, int(np.exp(r.gauss(5, 0.7))) + 25)
+        lang, source = ("en", "hot") if k < 400 else ("en", f"rare{k % 3}") if k < 420 else (f"l{k % 4}", "hot")
+        if k >= 400 and k % 5 == 0:
+            text = " ".join(w + "#$%" for w in text.split())
+            junk.add(k)
+        rows.append((k, text, lang, source, len(text), *"fbkln"))
+    got = {x["doc_id"]: x for x in quality.judged(table(spark, rows), min_rows=200).collect()}
+    assert len(got) == 440 and all(x["distance"] is not None for x in got.values())
+    assert {k for k in got if not got[k]["kept"]} >= junk and sum(not x["kept"] for x in got.values()) <= len(junk) + 2
+
+
 def test_estimate_equals_numpy(spark, mixed):
     """The distributed steps against the same steps in numpy, for one group."""
     docs = table(spark, [(x[0], x[1], "en", "s", *x[4:-1]) for x in mixed])
