@@ -106,9 +106,10 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts, base_failed and the vector of each row."""
+    """doc_id, lang, source, the counts, base_failed and the vector of each row (and _row if docs have it)."""
+    own = ["doc_id", "lang", "source"] + ["_row"] * ("_row" in docs.columns)
     schema = T.StructType(
-        [docs.schema[c] if c in docs.columns else T.StructField(c, T.StringType()) for c in ("doc_id", "lang", "source")]
+        [docs.schema[c] if c in docs.columns else T.StructField(c, T.StringType()) for c in own]
         + [T.StructField(c, T.LongType()) for c in COUNTS]
         + [T.StructField("base_failed", T.BooleanType())]
         + [T.StructField(c, T.DoubleType()) for c in NAMES]
@@ -116,12 +117,12 @@ def measured(docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         rows = list(zip(*[statistics(t) for t in common.texts_of(batch)]))
-        out = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "lang", "source")}
+        out = {c: batch.column(batch.schema.get_field_index(c)) for c in own}
         out |= dict(zip(COUNTS + NAMES, map(list, rows)))
         out["base_failed"] = [n < 20 or 100 * r > 30 * n for n, r in zip(out["n_words"], out["n_repeat_words"])]
         return out
 
-    return common.map_batches(docs.select("doc_id", "text", "lang", "source"), run, schema)
+    return common.map_batches(docs.select("text", *own), run, schema)
 
 
 # -- estimates -----------------------------------------------------------------
@@ -277,7 +278,7 @@ def estimates(rows: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, min_rows: int = 200, cutoff: float = CUTOFF) -> DataFrame:
-    """One row for each row of docs: doc_id, the counts, base_failed, distance and kept."""
+    """One row for each row of docs: doc_id (and _row if docs have it), the counts, base_failed, distance and kept."""
     rows = common.written(measured(docs), "quality")
     passed = common.written(_grouped(rows.filter(~F.col("base_failed")).select("lang", "source", *NAMES), min_rows).drop("lang", "source"), "vectors")
     params = common.checked_broadcast(estimates(passed).filter(F.col("n") >= min_rows).select(*_KEY, F.struct("centre", "whiten", "scale").alias("m")), GROUPS)
@@ -291,10 +292,15 @@ def judged(docs: DataFrame, min_rows: int = 200, cutoff: float = CUTOFF) -> Data
     best = keyed.withColumn("m", F.coalesce(*models)).withColumns({"centre": F.col("m.centre"), "whiten": F.col("m.whiten")})
     distance = F.when(~F.col("base_failed"), _distance() / F.col("m.scale"))
     kept = ~F.col("base_failed") & F.coalesce(distance <= cutoff * _chi2(H, P), F.lit(True))
-    return best.select("doc_id", *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"))
+    return best.select("doc_id", *[c for c in ("_row",) if c in docs.columns], *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, min_rows: int = 200, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of docs that are kept, all columns as they are; of rows with one doc_id, all or none are kept."""
-    bad = judged(docs, min_rows, cutoff).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs that are kept, all columns as they are; each row by itself, whatever its doc_id.
+
+    A row is known by its id and a hash of what it is judged by, so rows with the same of these share their fate.
+    """
+    told = F.xxhash64("text", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("lang", "source")])
+    rows = docs.withColumn("_row", told)
+    bad = judged(rows, min_rows, cutoff).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad"), F.col("_row").alias("_bad_row")).distinct()
+    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["_bad"]) & (rows["_row"] == bad["_bad_row"]), "left_anti").drop("_row")

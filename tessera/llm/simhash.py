@@ -299,16 +299,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """docs without all but one document of each component: the one with the least doc_id.
+    """docs without all but one row of each component: the one with the least doc_id (a null one is last).
 
-    Of rows that repeat a kept doc_id one stays; a component whose ids are all null keeps one row.
+    Rows are told apart by a number of their own, so null and repeated ids do no harm.
     """
-    found = near_duplicates(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    rows = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), "_row")
+    found = near_duplicates(rows.select(own.alias("doc_id"), "text"), shingle, radius).filter(F.col("doc_id._row") == F.col("component_id._row"))
+    return rows.join(found.select(F.col("doc_id._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+
 
 
 # -- copies by similarity --------------------------------------------------------

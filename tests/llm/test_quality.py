@@ -86,6 +86,15 @@ def test_rare_groups_are_judged_by_their_language_and_by_all(spark):
     assert {k for k in got if not got[k]["kept"]} >= junk and sum(not x["kept"] for x in got.values()) <= len(junk) + 2
 
 
+def test_null_and_repeated_ids_are_judged_by_row(spark):
+    good, r = [], random.Random(8)
+    good = [clean(r, 40) for _ in range(4)]
+    rows = [(None, good[0]), (None, "too short"), (None, None), (5, good[1]), (5, "short too"), (5, good[2]), (6, good[3])]
+    docs = table(spark, [(k, t, None, "s", 1, *"fbkln") for k, t in rows])
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and sorted(x["text"] for x in kept.collect()) == sorted(good)
+
+
 def test_estimate_equals_numpy(spark, mixed):
     """The distributed steps against the same steps in numpy, for one group."""
     docs = table(spark, [(x[0], x[1], "en", "s", *x[4:-1]) for x in mixed])

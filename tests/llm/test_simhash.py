@@ -134,3 +134,14 @@ def docs_schema():
     from .helpers import SCHEMA
 
     return SCHEMA
+
+
+def test_null_and_repeated_ids(spark):
+    """Different texts stay whatever their ids; of copies one row stays."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(80)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[4]), (7, texts[5]), (7, texts[5])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t), *"fbkln") for k, t in rows], docs_schema()).repartition(3)
+    want = sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3]), ("8", texts[4]), ("7", texts[5])])
+    for keep in (simhash.keep_one, simhash.keep_dissimilar):
+        assert sorted((str(x["doc_id"]), x["text"]) for x in keep(docs).collect()) == want
