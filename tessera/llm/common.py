@@ -178,6 +178,12 @@ class WordCache:
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
+    def _letters(self, word: str) -> bool:
+        """Whether the model's patterns see letters alone: some letters become a letter and a mark by its normalizer."""
+        if word.isascii() or not word.isalpha():
+            return word.isalpha()
+        return self.model.normalizer is None or self.model.normalizer.normalize_str(word).isalpha()
+
     def _cut(self, text: str) -> list[str]:
         if self.lower and "İ" not in text and "Σ" not in text:  # Python looks at their context
             text = text.lower()
@@ -190,7 +196,7 @@ class WordCache:
         ended = []
         for w in new:
             base = w.rstrip(SIGNS)
-            if len(base) < len(w) and base[self.spaced and base[:1] == " " :].isalpha():
+            if len(base) < len(w) and self._letters(base[self.spaced and base[:1] == " " :]):
                 ended.append((w, base, w[len(base) :]))
         if ended:
             parts = {x for _, a, b in ended for x in (a, b)}
@@ -205,7 +211,7 @@ class WordCache:
     def _encode(self, new: list[str]) -> None:
         if self.plain is self.model:
             return self._encode_by(self.model, new)
-        letters = [w for w in new if w.isalpha() and w == w.lower()]
+        letters = [w for w in new if w == w.lower() and self._letters(w)]
         self._encode_by(self.plain, letters)
         self._encode_by(self.model, list(set(new).difference(letters)))
 

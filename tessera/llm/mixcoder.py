@@ -2,19 +2,32 @@
 
 A file holds the ids of consecutive documents.  Ids are cut into blocks that are
 coded independently: each starts from a fresh model and carries a checksum, so
-any block decodes alone and damage stays within it.  Three predictions are
-mixed for every id:
+any block decodes alone and damage stays within it.  The probability of an id x
+is a mixture of three predictions,
 
-* order 2: the id that last followed the two ids before it,
-* order 1: the id that last followed the id before it,
-* order 0: the ids' frequencies in the file (a table in its header).
+    P(x) = w2 [x = c2] + w1 [x = c1] + w0 P0(x),
 
-How much of the code space orders 2 and 1 get adapts, per block and context, to
-how often they were right; order 0 shares the rest.  A range coder with 56-bit
-state and 28-bit digits codes the result.
+* order 2: c2, the id remembered for the two ids before it,
+* order 1: c1, the id remembered for the id before it,
+* order 0: P0, one of up to TABLES frequency tables in the file's header, chosen
+  anew by how well each has told the block's ids of late.
+
+Every part adapts within its block, after every STEP ids.  A remembered id has a confidence that rises
+with every right prediction and falls with a wrong one; only a weak one is
+replaced.  Both confidences pick the weights w2 and w1, which follow how often
+the predictions were right there (where c1 = c2, w1 is 0).  An id that two
+predictions tell gets the sum of their shares.  A range coder with 60 bits of
+state and 28-bit digits codes the result; all of it is integer arithmetic, so
+files decode alike on any machine.
 
 All blocks of a file are coded side by side, one numpy lane for each block, so
 the cost of Python is paid once for each position in a block.
+
+Defined results: a null text is an empty document (the end id alone), an empty
+table gives no files, null ids come first and stay null, repeated rows stay rows
+of their own; a text of any length is held whole by one task, which closes a
+file after at least ``file_tokens`` ids.  ``doc_id`` must be an integer column;
+columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,169 +44,277 @@ from pyspark.sql import types as T
 
 from tessera.llm import common
 
-MAGIC = b"TCM1"
-#: Ids of a block; slots of a block's prediction tables (a power of two).
-BLOCK, SLOTS = 512, 256
+MAGIC = b"TCM2"
+#: Ids of a block; slots of a block's tables of remembered ids, one table an order (a power of two).
+BLOCK, SLOTS = 8192, 4096
+#: Frequency tables of order 0 at most, ids for each of them at least, and ids after which a block's state changes (less than 2 to the power of _RATE).
+TABLES, TABLE_TOKENS, STEP = 8, 1 << 16, 16
 #: Bits of the mixing weights and of a digit.
 W_BITS, DIGIT = 12, 28
 #: Ids after which a file is closed.
-FILE_TOKENS = 1 << 21
-#: Least, first and greatest weight of a prediction, and how slowly weights move (as a shift).
-_LEAST, _FIRST, _MOST, _RATE = 16, 1024, 3600, 4
-_HEAD = struct.Struct("<4sIIIIIIIII")
-_ONE = np.uint64(1)
-_U = np.uint64
+FILE_TOKENS = 1 << 24
+#: First and greatest weight of a prediction, and how slowly weights move (as a shift).
+_FIRST, _MOST, _RATE = 1024, 4032, 5
+_HEAD = struct.Struct("<4sIIIIIIIIII")
+_LOW = (1 << DIGIT) - 1
+_STATE = 32 + DIGIT  # bits of the coder's state; a span keeps more than 32 of them
 
 
 class Damaged(ValueError):
     """A file or block whose checksum does not hold."""
 
 
+# -- the model -----------------------------------------------------------------
+
+#: By 2 * confidence + right: the new confidence less the old one, and whether another id moves in (with confidence 1).
+_CHANGE = np.array([0, 0, 0, 1, -1, 1, -1, 0], np.int32)
+_REPLACED = np.array([1, 0, 1, 0, 0, 0, 0, 0], bool)
+
+
 class _Model:
     """The lanes' adaptive state; the coder and the decoder keep it alike.
 
-    A weight moves towards _MOST where its prediction was right, else towards
-    its least value.  Where there is nothing to predict, or order 1 says the
-    same as order 2, a lane uses a weight that never moves.
+    Arrays of two rows hold order 2 in the first and order 1 in the second.
+    A remembered id x with confidence c in 1, 2, 3 is the entry 4 (x + 1) + c; 0
+    is none, and has no weight.  The state changes after every STEP ids.
     """
 
-    def __init__(self, lanes: int, ids: int) -> None:
-        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.after1 = np.zeros(lanes * SLOTS, np.int32)
-        self.after2 = np.zeros(lanes * SLOTS, np.int32)
-        self.right2 = np.tile(np.array([_LEAST, _FIRST, _FIRST], np.int64), lanes)
-        self.right1 = np.tile(np.array([0, _FIRST, _FIRST], np.int64), lanes)
-        self.three = np.arange(lanes, dtype=np.int64) * 3
-        self.slot = (np.arange(ids, dtype=np.int64) * 0x9E3779B1 >> 15) & (SLOTS - 1)
-        self.prev = np.zeros(lanes, np.int64)
-        self.at1 = self.base.copy()
-        self.at2 = self.base.copy()
-
-    def predict(self) -> tuple[np.ndarray, ...]:
-        """The predicted ids plus one (0: none) of orders 2 and 1, and their weights."""
-        e2, e1 = self.after2[self.at2], self.after1[self.at1]
-        same, have2 = e2 == e1, e2 > 0
-        self.k2 = self.three + have2 + (have2 & same)
-        self.k1 = self.three + ((e1 > 0) & ~same) * (1 + have2)
-        self.f2, self.w1 = self.right2[self.k2], self.right1[self.k1]
-        return e2, e1, self.f2, _LEAST + (self.w1 * (4096 - 2 * _LEAST - self.f2) >> W_BITS)
-
-    def learn(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.right2[self.k2] = self.f2 + ((hit2 * (_MOST - _LEAST) + _LEAST - self.f2) >> _RATE)
-        self.right1[self.k1] = self.w1 + ((hit1 * _MOST - self.w1) >> _RATE)
-        value = (x + 1).astype(np.int32)
-        self.after2[self.at2] = value
-        self.after1[self.at1] = value
-        now = self.slot[x]
-        self.at1 = self.base + now
-        self.at2 = self.base + ((now + 5 * self.prev) & (SLOTS - 1))
-        self.prev = now
+    def __init__(self, lanes: int, freq: np.ndarray) -> None:
+        tables, ids = freq.shape
+        self.lanes, self.width = lanes, ids + 1
+        self.bits = int(freq[0].sum()).bit_length() - 1
+        # by table and id + 1
+        self.freq = np.concatenate([np.zeros((tables, 1), np.int64), freq], axis=1).reshape(-1)
+        self.cum = np.concatenate([np.zeros((tables, 1), np.int64), np.cumsum(freq, axis=1) - freq], axis=1).reshape(-1)
+        part, whole = np.frexp(freq.T.astype(float))
+        self.level = whole * np.int32(16) + (part * 32).astype(np.int32)  # 16 times a logarithm, exact on any machine
+        self.score = np.zeros((lanes, tables), np.int32)
+        lane = np.arange(lanes, dtype=np.int64)
+        self.known = np.zeros(2 * lanes * SLOTS, np.int32)
+        self.base = np.stack([lane * SLOTS, (lanes + lane) * SLOTS])
+        spread = np.arange(ids, dtype=np.int64)
+        self.slot1, self.slot2 = (spread * 0x9E3779B1 >> 15) & (SLOTS - 1), (spread * 0x85EBCA6B >> 13) & (SLOTS - 1)
+        self.last = np.zeros((2, lanes), np.int64)  # the two ids before, the older one first
+        kind = np.arange(16)
+        self.weight = np.stack([np.tile(np.where(kind >> 2 & 3, _FIRST, 0), lanes), np.tile(np.where(kind & 3, _FIRST, 0), lanes)]).astype(np.int64).reshape(-1)
+        self.context = np.stack([lane * 16, (lanes + lane) * 16]).astype(np.int32)
+        self._set_out()
+
+    def _set_out(self) -> None:
+        self.weight0 = (1 << W_BITS) - self.weight[: len(self.weight) // 2] - self.weight[len(self.weight) // 2 :]
+        self.share = self.weight << self.bits
+        self.table = self.score.argmax(axis=1)
+        self.slots, self.table = self.table << self.bits, self.table * self.width
+
+    def kinds(self, entry: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The places of the two weights, for entries (..., 2, lanes); where both orders say the same, order 1 has no weight."""
+        sure = entry & 3
+        kind = sure[..., 1, :] * (ids[..., 0, :] != ids[..., 1, :])
+        kind += sure[..., 0, :] * np.int32(4)
+        return self.context + kind[..., None, :]
+
+    def learn(self, x: np.ndarray, at: np.ndarray, entry: np.ndarray, kind: np.ndarray, right: np.ndarray) -> None:
+        """Goes on by the ids x (steps x lanes), the entries at their places, and which were right (steps x 2 x lanes)."""
+        state = (entry & 3) * np.int32(2)
+        state += right
+        new = entry + _CHANGE.take(state)
+        np.copyto(new, (x * 4 + 5).astype(np.int32)[:, None], where=_REPLACED.take(state))
+        self.known[at] = new  # of entries at one place the last stays
+        told = right.copy()
+        told[:, 1] &= ~right[:, 0]  # what order 2 told is not put down to order 1
+        kind = kind * 2
+        kind += told
+        met = np.bincount(kind.reshape(-1), minlength=2 * len(self.weight)).reshape(-1, 2)
+        self.weight += (met[:, 1] * (_MOST - self.weight) - met[:, 0] * self.weight) >> _RATE
+        self.score -= self.score >> 1
+        self.score += self.level.take(x.reshape(-1), axis=0).reshape(*x.shape, -1).sum(axis=0, dtype=np.int32)
+        self.last = np.concatenate([self.last, x])[-2:]
+        self._set_out()
 
 
 def _frequencies(counts: np.ndarray) -> np.ndarray:
-    """Order-0 frequencies that sum to a power of two, at least 1 each."""
+    """Frequencies that sum to a power of two, at least 1 each."""
     whole = 1 << max(12, len(counts).bit_length() + 2)
     if whole > 1 << 20:
         raise ValueError("too many distinct ids for one file")
-    freq = np.maximum(1, counts * (whole - len(counts)) // max(1, counts.sum()))
+    freq = np.maximum(1, (counts * ((whole - len(counts)) / max(1.0, counts.sum()))).astype(np.int64))
     freq[int(np.argmax(freq))] += whole - int(freq.sum())
     return freq
 
 
+def _tables(dense: np.ndarray, ids: int) -> np.ndarray:
+    """Frequency tables (tables x ids) that tell the stretches of a file well, each stretch by one of them.
+
+    A clustering by code length: first of long stretches in every part of the
+    file, then of short ones; the counts in the end are those of all ids.
+    """
+    counts = np.bincount(dense, minlength=ids).astype(float)
+    tables = max(1, min(TABLES, len(dense) // TABLE_TOKENS))
+    if tables == 1:
+        return _frequencies(counts)[None]
+    prior = counts * (50.0 / len(dense))
+    own, cost = np.random.default_rng(0), None
+    for stretch, rounds, ids_most in ((1024, 8, 1 << 19), (64, 3, 1 << 18), (64, 1, len(dense))):
+        rows = dense[: len(dense) // stretch * stretch].reshape(-1, stretch)
+        rows = rows[:: max(1, rows.size // ids_most)]
+        for _ in range(rounds):
+            if cost is None:
+                of = own.integers(0, tables, len(rows))
+            else:
+                of = np.stack([c.take(rows).sum(axis=1) for c in cost]).argmax(axis=0)
+            found = np.stack([np.bincount(rows[of == k].reshape(-1), minlength=ids) for k in range(tables)]) + prior
+            cost = np.log2(found / found.sum(axis=1, keepdims=True)).astype(np.float32)
+    return np.stack([_frequencies(f) for f in found])
+
+
+# -- the coder -----------------------------------------------------------------
+
+
 def _encode_lanes(rows: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Digits (lane by lane, flat) and their number per lane, for rows of dense ids (lanes x length)."""
     lanes, length = rows.shape
-    whole = int(freq.sum())
-    bits = _U(whole.bit_length() - 1)
-    none = len(freq)  # stands for "no order-0 step": the whole range
-    cum = np.r_[0, np.cumsum(freq)[:-1], 0].astype(_U)
-    freq = np.r_[freq, whole].astype(_U)
-    model = _Model(lanes, none)
-    low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 56) - 1, _U)
-    out, used = np.zeros((length + 1, lanes), _U), np.zeros(lanes, np.int64)
+    model = _Model(lanes, freq)
+    bits = W_BITS + model.bits
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << _STATE) - 1, np.int64)
+    out, used = np.zeros((length // 3 + 2, lanes), np.int32), np.zeros(lanes, np.int64)
     flat, lane = out.reshape(-1), np.arange(lanes, dtype=np.int64)
-    columns = np.ascontiguousarray(rows.T).astype(np.int64)
-    for x in columns:
-        e2, e1, f2, f1 = model.predict()
-        hit2 = e2 == x + 1
-        hit1 = (e1 == x + 1) & ~hit2
-        escape = ~(hit2 | hit1)
-        start = f2 * ~hit2 + f1 * escape
-        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f2 - f1))
-        r = span >> _U(W_BITS)
-        low += r * start.view(_U)
-        span = r * size.view(_U)
-        r = span >> bits
-        own = np.where(escape, x, none)
-        low += r * cum[own]
-        span = r * freq[own]
-        over = np.flatnonzero(low >> _U(2 * DIGIT))
-        if len(over):
-            low[over] &= _U((1 << 56) - 1)
-            flat[(used[over] - 1) * lanes + over] += _ONE
-        short = np.flatnonzero(span < _U(1 << DIGIT))
-        if len(short):
-            part = low[short]
-            flat[used[short] * lanes + short] = part >> _U(DIGIT)
-            used[short] += 1
-            low[short] = (part & _U((1 << DIGIT) - 1)) << _U(DIGIT)
-            span[short] <<= _U(DIGIT)
-        model.learn(x, hit2, hit1)
-    flat[used * lanes + lane] = (low + _U((1 << DIGIT) - 1)) >> _U(DIGIT)  # the rest reads as zeros
+    columns = np.ascontiguousarray(rows.T)
+    for begin in range(0, length, STEP):
+        x = columns[begin : begin + STEP].astype(np.int64)
+        context = np.concatenate([model.last, x])
+        at = np.empty((len(x), 2, lanes), np.int64)
+        at[:, 1] = model.slot1.take(context[1:-1])
+        at[:, 0] = (at[:, 1] + model.slot2.take(context[:-2])) & (SLOTS - 1)
+        at += model.base
+        entry = model.known.take(at)
+        ids = entry >> 2
+        kind = model.kinds(entry, ids)
+        share, weight0 = model.share.take(kind), model.weight0.take(kind[:, 0])
+        x1 = (x + 1).astype(np.int32)[:, None]
+        right = ids == x1
+        own = x + (model.table + 1)
+        size, start = model.freq.take(own), model.cum.take(own)
+        size *= weight0
+        part = share * right
+        size += part[:, 0]
+        size += part[:, 1]
+        start *= weight0
+        share *= ids < x1
+        start += share[:, 0]
+        start += share[:, 1]
+        if used.max() + STEP >= len(out):  # a step writes one digit at most
+            out = np.concatenate([out, np.zeros((len(out) // 2 + 2 * STEP, lanes), np.int32)])
+            flat = out.reshape(-1)
+        for size_t, start_t in zip(size, start):
+            span >>= bits
+            start_t *= span
+            low += start_t
+            span *= size_t
+            over = (low >> _STATE).nonzero()[0]
+            if len(over):
+                low[over] &= (1 << _STATE) - 1
+                flat[(used[over] - 1) * lanes + over] += 1
+            short = (span < 1 << 32).nonzero()[0]
+            if len(short):
+                part, n = low[short], used[short]
+                flat[n * lanes + short] = part >> 32
+                used[short] = n + 1
+                low[short] = (part & 0xFFFFFFFF) << DIGIT
+                span[short] <<= DIGIT
+        model.learn(x, at, entry, kind, right)
+    # a last digit that lies in the span whatever follows: the state's upper bits, rounded up
+    flat[used * lanes + lane] = (low + 0xFFFFFFFF) >> 32
     used += 1
     for k in range(int(used.max()) - 1, 0, -1):
-        out[k - 1] += out[k] >> _U(DIGIT)
-        out[k] &= _U((1 << DIGIT) - 1)
-    return np.ascontiguousarray(out.T)[np.arange(length + 1) < used[:, None]], used
+        out[k - 1] += out[k] >> DIGIT
+        out[k] &= _LOW
+    out = np.ascontiguousarray(out[: used.max()].T)
+    return out[np.arange(out.shape[1]) < used[:, None]], used
 
 
 def _decode_lanes(digits: np.ndarray, used: np.ndarray, length: int, freq: np.ndarray) -> np.ndarray:
     lanes = len(used)
-    slots = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-    whole = len(slots)
-    bits = _U(whole.bit_length() - 1)
-    none = len(freq)
-    cum = np.r_[0, np.cumsum(freq)[:-1], 0].astype(_U)
-    freq = np.r_[freq, whole].astype(_U)
-    wide = int(used.max(initial=0)) + 3
-    code_in = np.zeros((lanes, wide), _U)
+    model = _Model(lanes, freq)
+    bits = W_BITS + model.bits
+    holders = np.concatenate([np.repeat(np.arange(len(f), dtype=np.int64), f) for f in freq])
+    wide = int(used.max(initial=0)) + 4
+    code_in = np.zeros((lanes, wide), np.int64)
     code_in[np.arange(wide) < used[:, None]] = digits
-    flat, at = code_in.reshape(-1), np.arange(lanes, dtype=np.int64) * wide + 2
-    last = np.arange(lanes, dtype=np.int64) * wide + wide - 1
-    model = _Model(lanes, none)
-    code = (code_in[:, 0] << _U(DIGIT)) | code_in[:, 1]
-    span = np.full(lanes, (1 << 56) - 1, _U)
-    columns = np.empty((length, lanes), np.int64)
-    for t in range(length):
-        e2, e1, f2, f1 = model.predict()
-        r = span >> _U(W_BITS)
-        v = np.minimum(code // r, _U(4095)).view(np.int64)
-        hit2 = v < f2
-        hit1 = (v < f2 + f1) & ~hit2
-        escape = ~(hit2 | hit1)
-        start = f2 * ~hit2 + f1 * escape
-        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f2 - f1))
-        code -= r * start.view(_U)
-        span = r * size.view(_U)
-        r = span >> bits
-        x = slots[np.minimum(code // r, _U(whole - 1)).view(np.int64)]
-        x = np.where(escape, x, np.where(hit2, e2, e1) - 1).astype(np.int64)
-        own = np.where(escape, x, none)
-        code -= r * cum[own]
-        span = r * freq[own]
-        short = np.flatnonzero(span < _U(1 << DIGIT))
-        if len(short):
-            code[short] = (code[short] << _U(DIGIT)) | flat[np.minimum(at[short], last[short])]
-            at[short] += 1
-            span[short] <<= _U(DIGIT)
-        model.learn(x, hit2, hit1)
-        columns[t] = x
+    flat, next_digit = code_in.reshape(-1), np.arange(lanes, dtype=np.int64) * wide + 3
+    last_digit = np.arange(lanes, dtype=np.int64) * wide + wide - 1
+    # the state has two digits and the upper bits of a third; the rest of that one comes with the next shift
+    code = (code_in[:, 0] << 32) | (code_in[:, 1] << 4) | (code_in[:, 2] >> 24)
+    rest = code_in[:, 2] & 0xFFFFFF
+    span = np.full(lanes, (1 << _STATE) - 1, np.int64)
+    columns = np.empty((length, lanes), np.int32)
+    first = np.empty((2, lanes), bool)
+    for begin in range(0, length, STEP):
+        n = min(STEP, length - begin)
+        x_all, right_all = np.empty((n, lanes), np.int64), np.empty((n, 2, lanes), bool)
+        at_all, entry_all, kind_all = np.empty((n, 2, lanes), np.int64), np.empty((n, 2, lanes), np.int32), np.empty((n, 2, lanes), np.int32)
+        table, (older, last) = model.table, model.last
+        for t in range(n):
+            at = at_all[t]
+            now = model.slot1.take(last)
+            at[1] = now
+            now += model.slot2.take(older)
+            now &= SLOTS - 1
+            at[0] = now
+            at += model.base
+            entry = model.known.take(at)
+            ids = entry >> 2
+            kind = model.kinds(entry, ids)
+            share, weight0 = model.share.take(kind), model.weight0.take(kind[0])
+            span >>= bits
+            v = code // span
+            # where the two predictions' shares begin: order 2's comes first if both are the same
+            start = model.cum.take(ids + table)
+            start *= weight0
+            np.less(ids[1], ids[0], out=first[0])
+            np.logical_not(first[0], out=first[1])
+            start += share[::-1] * first
+            off = v - start
+            np.maximum(off, 0, out=off)
+            np.minimum(off, share, out=off)
+            v -= off[0]
+            v -= off[1]
+            v //= weight0
+            v += model.slots
+            x = holders.take(v, mode="clip")
+            x_all[t], entry_all[t], kind_all[t] = x, entry, kind
+            older, last = last, x
+            x = x + 1
+            x1 = x.astype(np.int32)
+            right = np.equal(ids, x1, out=right_all[t])
+            x += table
+            size, start = model.freq.take(x), model.cum.take(x)
+            size *= weight0
+            part = share * right
+            size += part[0]
+            size += part[1]
+            start *= weight0
+            share *= ids < x1
+            start += share[0]
+            start += share[1]
+            start *= span
+            code -= start
+            span *= size
+            short = (span < 1 << 32).nonzero()[0]
+            if len(short):
+                here = next_digit[short]
+                new = flat[np.minimum(here, last_digit[short])]
+                code[short] = (code[short] << DIGIT) | (rest[short] << 4) | (new >> 24)
+                rest[short] = new & 0xFFFFFF
+                next_digit[short] = here + 1
+                span[short] <<= DIGIT
+        columns[begin : begin + n] = x_all
+        model.learn(x_all, at_all, entry_all, kind_all, right_all)
     return columns.T
 
 
 def _pack(digits: np.ndarray) -> bytes:
-    pairs = np.r_[digits, np.zeros(len(digits) % 2, _U)].reshape(-1, 2)
-    whole = (pairs[:, 0] << _U(DIGIT)) | pairs[:, 1]
+    pairs = np.r_[digits, np.zeros(len(digits) % 2, np.int64)].reshape(-1, 2)
+    whole = (pairs[:, 0] << DIGIT) | pairs[:, 1]
     return np.ascontiguousarray(whole.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
 
 
@@ -201,12 +322,16 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8).reshape(-1, 7)
     whole = np.zeros((len(raw), 8), np.uint8)
     whole[:, 1:] = raw
-    whole = whole.view(">u8").reshape(-1).astype(_U)
-    return np.column_stack([whole >> _U(DIGIT), whole & _U((1 << DIGIT) - 1)]).reshape(-1)[:n]
+    whole = whole.view(">u8").reshape(-1).astype(np.int64)
+    return np.column_stack([whole >> DIGIT, whole & _LOW]).reshape(-1)[:n]
 
 
-def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A file of documents: their ids, their numbers of token ids, and all token ids."""
+def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int | None = None) -> bytes:
+    """A file of documents: their ids, their numbers of token ids, and all token ids.
+
+    Blocks have BLOCK ids; those of a small file have fewer, down to an eighth, so that 64 are coded side by side.
+    """
+    block = block or min(BLOCK, max(BLOCK // 8, -(-len(ids) // 64)))
     ids = np.ascontiguousarray(ids, np.uint32)
     index = np.array([x if x is not None else 0 for x in doc_ids], np.int64)
     absent = np.packbits([x is None for x in doc_ids]) if doc_ids else np.zeros(0, np.uint8)
@@ -216,25 +341,25 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
         present = np.flatnonzero(counts)
         place = np.zeros(len(counts), np.int32)
         place[present] = np.arange(len(present))
-        counts, dense = counts[present], place[ids]
+        dense = place[ids]
     else:
-        present, dense, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    freq = _frequencies(counts.astype(np.int64)) if len(ids) else np.zeros(0, np.int64)
+        present, dense = np.unique(ids, return_inverse=True)
+    freq = _tables(dense, len(present)) if len(ids) else np.zeros((0, 0), np.int64)
     table = zlib.compress(np.diff(present.astype(np.uint32), prepend=np.uint32(0)).tobytes() + freq.astype(np.uint32).tobytes(), 6)
     block = max(1, min(block, len(ids)))
     lanes = -(-len(ids) // block)
-    padded = np.r_[dense, np.full(lanes * block - len(ids), dense[-1] if len(ids) else 0, dense.dtype)]
-    digits, used = _encode_lanes(padded.reshape(lanes, block), freq) if lanes else (np.zeros(0, _U), np.zeros(0, np.int64))
+    dense = np.pad(dense, (0, lanes * block - len(ids)), mode="edge") if lanes * block > len(ids) else dense
+    digits, used = _encode_lanes(dense.reshape(lanes, block), freq) if lanes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     sums = np.array([zlib.crc32(ids[k * block : (k + 1) * block]) for k in range(lanes)], np.uint32)
     directory = used.astype(np.uint32).tobytes() + sums.tobytes()
     body = index + table + directory + _pack(digits)
     start = index + table + directory
-    return _HEAD.pack(MAGIC, zlib.crc32(start), len(doc_ids), len(ids), block, lanes, len(present), len(index), len(table), len(digits)) + body
+    return _HEAD.pack(MAGIC, zlib.crc32(start), len(doc_ids), len(ids), block, lanes, len(present), len(index), len(table), len(digits), len(freq)) + body
 
 
 def decode_file(data: bytes, blocks: list[int] | None = None) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, lengths and token ids; with blocks, the token ids of those blocks alone."""
-    magic, crc, n_docs, n_ids, block, lanes, n_present, n_index, n_table, n_digits = _HEAD.unpack_from(data)
+    magic, crc, n_docs, n_ids, block, lanes, n_present, n_index, n_table, n_digits, n_freq = _HEAD.unpack_from(data)
     at = _HEAD.size
     table_at, dir_at = at + n_index, at + n_index + n_table
     body_at = dir_at + 8 * lanes
@@ -247,7 +372,7 @@ def decode_file(data: bytes, blocks: list[int] | None = None) -> tuple[list[int
     doc_ids = [None if a else x for x, a in zip(doc_ids, absent)]
     table = zlib.decompress(data[table_at:dir_at])
     present = np.cumsum(np.frombuffer(table, np.uint32, n_present), dtype=np.uint32)
-    freq = np.frombuffer(table, np.uint32, n_present, 4 * n_present).astype(np.int64)
+    freq = np.frombuffer(table, np.uint32, n_freq * n_present, 4 * n_present).astype(np.int64).reshape(n_freq, n_present)
     used = np.frombuffer(data, np.uint32, lanes, dir_at).astype(np.int64)
     sums = np.frombuffer(data, np.uint32, lanes, dir_at + 4 * lanes)
     if not lanes:
@@ -275,9 +400,11 @@ _FILES = T.StructType(
 )
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int, words=common.BARE_WORDS, file_tokens: int = FILE_TOKENS, cached: int = 600_000) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, end_id: int, words=common.BARE_WORDS, file_tokens: int = FILE_TOKENS, cached: int = 600_000, path: str | None = None) -> DataFrame:
     """The token files of docs (doc_id, text) as a written table, in ascending doc_id order by (part, file).
 
+    With a path the table is written there, to stay; else it goes when the session ends.
+
     Texts go once over the network, to consecutive ranges of doc_id; each range
     is encoded as a stream, so a task holds one file's ids at a time.  Null
     texts are empty, null ids come first, rows of one id stay rows of their own.
@@ -285,7 +412,8 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, words=common.BARE_
     """
     spark = docs.sparkSession
     common.bounded_batches(spark, 2000)  # more rows, fewer distinct words for each; bytes are bounded too
-    at, parts = common.range_of(docs, "doc_id", common.shuffle_parts(spark))
+    # half as many ranges as shuffles have: longer files have more blocks to code side by side
+    at, parts = common.range_of(docs, "doc_id", -(-common.shuffle_parts(spark) // 2))
     dealt = docs.select("doc_id", "text", F.coalesce(at, F.lit(0)).cast("int").alias("part")).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "text")
     schema = common.arrow_schema(_FILES)
 
@@ -318,7 +446,11 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, words=common.BARE_
         if held:
             yield close()
 
-    return common.written(dealt.mapInArrow(run, _FILES), "tokens")
+    files = dealt.mapInArrow(run, _FILES)
+    if path is None:
+        return common.written(files, "tokens")
+    files.write.mode("overwrite").parquet(path)
+    return spark.read.schema(_FILES).parquet(path)
 
 
 _INDEX = T.StructType([T.StructField("part", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")])

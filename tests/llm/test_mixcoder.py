@@ -4,14 +4,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import mixcoder
+from tessera.llm import common, mixcoder
 
 from .helpers import empty, table
-from .test_packing import WORDS, whole
+from .test_packing import BYTE, WORDS, whole
 
 
 @settings(max_examples=60, deadline=None)
@@ -49,9 +51,63 @@ def test_it_compresses():
     phrases = [rng.integers(0, 30_000, 12) for _ in range(40)]
     ids = np.concatenate([phrases[k] for k in rng.integers(0, 40, 4000)]).astype(np.uint32)
     size = len(mixcoder.encode_file([1], np.array([len(ids)]), ids))
+    assert size < 0.9 * order0_bytes(ids)
+
+
+def order0_bytes(ids) -> float:
+    """What an ideal coder takes by the file's frequencies alone."""
     counts = np.bincount(ids)[np.unique(ids)]
-    order0 = -(counts * np.log2(counts / counts.sum())).sum() / 8  # bytes that frequencies alone would take
-    assert size < 0.9 * order0
+    return -(counts * np.log2(counts / counts.sum())).sum() / 8
+
+
+@pytest.fixture(scope="module")
+def real():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").sort_by("doc_id")["text"].to_pylist()
+    return np.concatenate([np.array(x + [2], np.uint32) for x in whole(WORDS, texts)])
+
+
+def test_real_documents_are_well_under_order_0(real):
+    data = mixcoder.encode_file([1], np.array([len(real)]), real)
+    assert np.array_equal(mixcoder.decode_file(data)[2], real)
+    assert len(data) < 0.9 * order0_bytes(real)
+
+
+def test_every_order_takes_part(real, monkeypatch):
+    """A file is smaller by orders 1 and 2, by a choice of tables for order 0, and by longer blocks."""
+    size = len(mixcoder.encode_file([1], np.array([len(real)]), real))
+    assert size < len(mixcoder.encode_file([1], np.array([len(real)]), real, block=512))
+    with monkeypatch.context() as m:
+        m.setattr(mixcoder, "TABLES", 1)
+        assert size < 0.97 * len(mixcoder.encode_file([1], np.array([len(real)]), real))
+    with monkeypatch.context() as m:
+        m.setattr(mixcoder, "_FIRST", 0)
+        m.setattr(mixcoder, "_MOST", 0)
+        assert size < 0.99 * len(mixcoder.encode_file([1], np.array([len(real)]), real))
+
+
+def test_words_are_encoded_as_whole_texts_are():
+    """Each letter, mark and sign beside signs, letters and space, for both models."""
+    points = [*range(0x3000), *range(0xA000, 0xA100), *range(0xFB00, 0xFE00), *range(0x1D400, 0x1D500), *range(0x1F600, 0x1F640)]
+    texts = [f"{chr(k)}. a{chr(k)}! {chr(k)}b; {chr(k)} {chr(k)}{chr(k)}, É{chr(k)}-" for k in points] + ["TEKİ.", "Aİ, b", "İ;", "\u0958.", "ΣΑΣ. ΑΣ, Σ", "e\u0301. E\u0301,"]
+    for path, words in ((WORDS, common.BARE_WORDS), (BYTE, common.SPACED_WORDS)):
+        cache = common.WordCache(path, words)
+        want = whole(path, texts)
+        assert [x.tolist() for x in cache.encode_column(pa.array(texts))] == want
+        assert [x.tolist() for x in cache.encode_batch(texts)] == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("aİΣßéD9 .,;!-'\"#_\t\n\u0301\u0307\u0958日<|>"))), min_size=1, max_size=8))
+def test_words_are_encoded_as_whole_texts_are_fuzzed(texts):
+    for path, words in ((WORDS, common.BARE_WORDS), (BYTE, common.SPACED_WORDS)):
+        got = common.word_cache(path, words).encode_column(pa.array(texts))
+        assert [x.tolist() for x in got] == whole(path, texts)
+
+
+def test_a_kept_path(spark, tmp_path):
+    mixcoder.write_files(table(spark), WORDS, 2, path=f"file://{tmp_path}/tokens")
+    kept = spark.read.parquet(f"file://{tmp_path}/tokens")
+    assert mixcoder.read_index(kept).count() == table(spark).count()
 
 
 @pytest.mark.parametrize("file_tokens", [100, 1 << 21])
