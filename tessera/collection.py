@@ -30,12 +30,14 @@ from tessera.functions import filters
 from tessera.functions import vectors as V
 from tessera.operators import clusters as C
 from tessera.operators import search as S
-from tessera.plans.routing import Centroids, exact_route, graph_route
+from tessera.plans.routing import Centroids, covering, covering_route, graph_route
 from tessera.sources import oplog
 from tessera.sources.files import Store
 
 #: Operations between snapshots; tombstones, and their share, that call for compaction.
 SNAPSHOT_OPS, DEAD_ROWS, DEAD_SHARE = 64, 64, 0.20
+#: Clusters that a search probes at least, and the share of the true hits that it is to find, unless it says how many to probe.
+PROBES, COVERAGE = 12, 0.97
 #: The cluster of rows that are not assigned yet; it is always searched.
 PENDING = -1
 DOCS = "doc_id long, id string, v array<float>, q array<tinyint>, metadata map<string,string>, cluster_id int"
@@ -80,6 +82,8 @@ class State:
     log: list[str] = field(default_factory=list)
     next_seq: int = 0
     dirty: int = 0
+    #: Superseded files of clusters and tombstones that a lease may still read.
+    old: list[str] = field(default_factory=list)
 
 
 class Collection:
@@ -167,15 +171,16 @@ class Collection:
         return rows.join(self._dead(), "id", "left_anti") if self.state.log or self.state.tombstones else rows
 
     def clusters(self) -> DataFrame:
-        """cluster_id, centroid, neighbors, members."""
-        schema = "cluster_id int, centroid array<float>, neighbors array<int>, members long"
+        """cluster_id, centroid, neighbors, members, closeness."""
+        schema = "cluster_id int, centroid array<float>, neighbors array<int>, members long, closeness double"
         return self.spark.read.schema(schema).parquet(f"{self.path}/{self.state.clusters}") if self.state.clusters else self._empty(schema)
 
     def _routing(self) -> Centroids:
         if self._centroids is None:
             rows = self.clusters().orderBy("cluster_id").collect()  # about one row for max_cluster_size documents
             matrix = np.array([r["centroid"] for r in rows], np.float32).reshape(len(rows), self.state.dimension)
-            self._centroids = Centroids(np.array([r["cluster_id"] for r in rows], np.int64), matrix, [list(r["neighbors"]) for r in rows])
+            members, closeness = (np.array([r[c] or 0 for r in rows], np.float64) for c in ("members", "closeness"))
+            self._centroids = Centroids(np.array([r["cluster_id"] for r in rows], np.int64), matrix, [list(r["neighbors"]) for r in rows], members, closeness)
         return self._centroids
 
     def _live(self) -> dict[int, int]:
@@ -224,6 +229,18 @@ class Collection:
             self._log(op, 1)
             return True
 
+    def delete_batch(self, ids: DataFrame) -> int:
+        """Deletes the live documents among ids (id) by one log batch; returns their number."""
+        with self.lock:
+            live = ids.select(F.col("id").cast("string").alias("id")).distinct().join(self.documents().select("id"), "id", "left_semi").persist()
+            try:
+                n = live.count()
+                if n:
+                    self._log(live.select("id", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("map<string,string>").alias("metadata"), F.lit("delete").alias("op")), n)
+                return n
+            finally:
+                live.unpersist()
+
     def _log(self, ops: DataFrame, n: int) -> None:
         batch = f"log/{self.state.version:08d}-{len(self.state.log):06d}"
         seq = F.lit(self.state.next_seq) + F.monotonically_increasing_id()
@@ -244,13 +261,13 @@ class Collection:
     def _write_clusters(self, rows: DataFrame, kept: DataFrame | None, name: str) -> int:
         """The clusters of rows and the kept ones, with the graph of their neighbours; returns the next id."""
         found = C.centroids(rows)
-        found = found if kept is None else found.unionByName(kept.select("cluster_id", "centroid", "members"))
+        found = found if kept is None else found.unionByName(kept.select("cluster_id", "centroid", "members", "closeness"))
         have = found.orderBy("cluster_id").collect()
         ids = np.array([r["cluster_id"] for r in have], np.int64)
         matrix = np.array([r["centroid"] for r in have], np.float32).reshape(len(have), self.state.dimension)
         lists = C.neighbor_lists(ids, matrix, self.state.graph_degree)
-        out = [(int(c), list(map(float, r["centroid"])), n, r["members"]) for c, r, n in zip(ids, have, lists)]
-        self.spark.createDataFrame(out, "cluster_id int, centroid array<float>, neighbors array<int>, members long").write.parquet(f"{self.path}/{name}")
+        out = [(int(c), list(map(float, r["centroid"])), n, r["members"], r["closeness"]) for c, r, n in zip(ids, have, lists)]
+        self.spark.createDataFrame(out, "cluster_id int, centroid array<float>, neighbors array<int>, members long, closeness double").write.parquet(f"{self.path}/{name}")
         return int(ids.max(initial=-1)) + 1
 
     def snapshot(self) -> None:
@@ -289,12 +306,15 @@ class Collection:
                     written = self.spark.read.schema(DOCS).parquet(f"{self.path}/{generation}/docs")
                     s.next_cluster_id = max(s.next_cluster_id, self._write_clusters(written, None, clusters))
                 s.readable.append(generation)
+                s.old += [s.clusters] if s.clusters else []
                 s.write, s.clusters = generation, clusters
+            s.old += [s.tombstones] if s.tombstones else []
             s.next_doc_id += s.next_seq
             old, s.log, s.tombstones, s.next_seq, s.dirty, s.version = s.log, [], dead, 0, 0, version
             self._publish()
             for p in old:
                 self.store.delete(f"{self.path}/{p}")
+            self.cleanup()
 
     def compact(self) -> None:
         """Rewrites the live documents into one fresh generation, clustered anew, without tombstones or log."""
@@ -310,6 +330,7 @@ class Collection:
             s.next_doc_id += s.next_seq
             old_log, s.log, s.next_seq, s.dirty = s.log, [], 0, 0
             s.retired = sorted({*s.retired, *s.readable})
+            s.old += [p for p in (s.clusters, s.tombstones) if p]
             s.readable, s.write, s.clusters = ([], generation, "") if empty else ([generation], generation, clusters)
             s.tombstones, s.moved, s.version = "", {}, version
             self._publish()
@@ -318,11 +339,12 @@ class Collection:
             self.cleanup()
 
     def cleanup(self) -> None:
-        """Deletes retired generations that no lease holds."""
+        """Deletes retired generations, and superseded files beside them, that no lease holds."""
         with self.lock:
-            free = [g for g in self.state.retired if not self.leases[g]]
+            free = [g for g in (*self.state.retired, *self.state.old) if not self.leases[g]]
             if free:
                 self.state.retired = [g for g in self.state.retired if g not in free]
+                self.state.old = [g for g in self.state.old if g not in free]
                 self._publish()
                 for g in free:
                     self.store.delete(f"{self.path}/{g}")
@@ -331,7 +353,7 @@ class Collection:
     def lease(self) -> Iterator[DataFrame]:
         """The live documents, whose generations stay until the lease ends."""
         with self.lock:
-            held = list(self.state.readable)
+            held = [*self.state.readable, *([self.state.tombstones] if self.state.tombstones else [])]
             self.leases.update(held)
             rows = self.documents()
         try:
@@ -358,29 +380,51 @@ class Collection:
     def _hits(found: DataFrame) -> list[dict]:
         return [{"id": r["id"], "score": r["score"], "metadata": dict(r["metadata"])} for r in found.collect()]
 
-    def search(self, query: object, k: int, where: object = None, entry_points: int = 4, ef_search: int = 24, probe_clusters: int = 12) -> SearchResult:
+    def search(self, query: object, k: int, where: object = None, entry_points: int = 4, ef_search: int = 24, probe_clusters: int | None = None) -> SearchResult:
         """Approximate top-k: routed clusters, scores by codes, exact scores of the shortlist.
 
-        If no routed cluster has a matching row, all rows that match the filter
-        are candidates.
+        Without probe_clusters, PROBES clusters are probed and as many more as
+        COVERAGE of the true hits is expected to need.  If no routed cluster has
+        a matching row, all rows that match the filter are candidates.
         """
         q, wanted = self._query(query), filters.parse(where)
         with self.lease() as docs:
             live = self._live()
-            chosen = graph_route(self._routing(), q, entry_points, ef_search, probe_clusters, live)
-            probed = chosen + ([PENDING] if PENDING in live else [])
-            found = S.candidates(docs, q, probed, wanted).persist()
+            chosen = graph_route(self._routing(), q, entry_points, ef_search, PROBES if probe_clusters is None else probe_clusters, live)
+            if probe_clusters is None:
+                chosen = self._covering(q, k, live, chosen)
+            found = S.candidates(docs, q, self._probed(chosen, live), wanted).persist()
             try:
                 n = found.count()
-                if not n and not wanted.is_empty:
-                    found.unpersist()
-                    found = S.candidates(docs, q, None, wanted).persist()
-                    n = found.count()
+                if not wanted.is_empty:
+                    asked, held = chosen, sum(live.get(c, 0) for c in chosen)
+                    if not n:
+                        asked = None
+                    elif probe_clusters is None and n < held:  # rows that match are fewer, so the k best of them lie farther
+                        asked = self._covering(q, k * held / n, live, chosen)
+                    if asked is None or len(asked) > len(chosen):
+                        found.unpersist()
+                        found = S.candidates(docs, q, None if asked is None else self._probed(asked, live), wanted).persist()
+                        n, chosen = found.count(), chosen if asked is None else asked
                 hits = self._hits(S.rerank(docs, found, q, k))
             finally:
                 found.unpersist()
         return SearchResult(hits, SearchStats(len(chosen), n))
 
+    @staticmethod
+    def _probed(chosen: list[int], live: dict[int, int]) -> list[int]:
+        return chosen + ([PENDING] if PENDING in live else [])
+
+    def _covering(self, q: np.ndarray, k: float, live: dict[int, int], chosen: list[int]) -> list[int]:
+        """The clusters chosen, and those that COVERAGE needs besides."""
+        own = self._routing()
+        if not len(own.ids):
+            return chosen
+        scores = (own.matrix.astype(np.float64) @ q.astype(np.float64))[None]
+        members = np.array([live.get(int(c), 0) for c in own.ids], np.float64)
+        needed = covering(scores, members, own.closeness, self.state.dimension, max(k, 1), COVERAGE)[0] & (members > 0)
+        return chosen + [int(c) for c in own.ids[needed] if c not in set(chosen)]
+
     def brute_force_search(self, query: object, k: int, where: object = None) -> SearchResult:
         """Exact top-k over all live rows; candidate_count is their number, whatever the filter."""
         q, wanted = self._query(query), filters.parse(where)
@@ -388,13 +432,15 @@ class Collection:
             hits = self._hits(S.exact_topk(docs, q, k, wanted))
             return SearchResult(hits, SearchStats(len(self._routing().ids), sum(self._live().values())))
 
-    def batch_search(self, queries: DataFrame, k: int, where: object = None, exact: bool = True, probe_clusters: int = 12) -> DataFrame:
-        """(qid, id, score, rank) for many queries (qid, vector) in one plan."""
+    def batch_search(self, queries: DataFrame, k: int, where: object = None, exact: bool = True, probe_clusters: int | None = None) -> DataFrame:
+        """(qid, id, score, rank) for many queries (qid, vector) in one plan; probes as search does."""
         docs, wanted = self.documents(), filters.parse(where)
         if exact:
             return S.batch_topk(docs, queries, k, wanted)
         routed = queries.select("qid", V.normalize(F.col("vector").cast("array<float>")).alias("qv"))
-        route = exact_route(routed, self.clusters(), probe_clusters).select("qid", "cluster_id")
+        many, share = (PROBES, COVERAGE) if probe_clusters is None else (probe_clusters, 0.0)
+        wide = k if wanted.is_empty or not share else k * sum(self._live().values()) / max(1, wanted.apply(docs).count())
+        route = covering_route(routed, self._routing(), max(wide, 1), many, share)
         route = route.unionByName(routed.select("qid", F.lit(PENDING).alias("cluster_id")))
         return S.probed_topk(wanted.apply(docs), routed, route, k)
 

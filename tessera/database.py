@@ -48,7 +48,7 @@ class Database:
     def fetch(self, name: str, doc_id: str) -> dict | None:
         return self.get_collection(name).fetch(doc_id)
 
-    def search(self, name: str, query: object, k: int, where: object = None, entry_points: int = 4, ef_search: int = 24, probe_clusters: int = 12) -> SearchResult:
+    def search(self, name: str, query: object, k: int, where: object = None, entry_points: int = 4, ef_search: int = 24, probe_clusters: int | None = None) -> SearchResult:
         return self.get_collection(name).search(query, k, where, entry_points, ef_search, probe_clusters)
 
     def brute_force_search(self, name: str, query: object, k: int, where: object = None) -> SearchResult:

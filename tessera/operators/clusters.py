@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.sources.files import shared_dir
 
 #: Most coarse centroids, rows they are chosen from, and rows that one task splits.
 COARSE, SAMPLE, CELL = 4096, 65_536, 200_000
@@ -63,9 +64,9 @@ def build(docs: DataFrame, max_cluster_size: int = 256, first_id: int = 0) -> Da
         matrix = np.stack(sample.to_numpy()).astype(np.float32)
         parts = split_down(matrix, max(1, len(matrix) // cells))
         coarse = np.stack([average_centroid(matrix[parts == k]) for k in range(parts.max() + 1)])
-        dealt = assign(docs, coarse, np.arange(len(coarse)), "cell")
+        dealt = assign(docs.select("doc_id", "v"), coarse, np.arange(len(coarse)), "cell")
     else:
-        dealt = docs.withColumn("cell", F.lit(0))
+        dealt = docs.select("doc_id", "v", F.lit(0).alias("cell"))
 
     def parts(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable")
@@ -75,9 +76,18 @@ def build(docs: DataFrame, max_cluster_size: int = 256, first_id: int = 0) -> Da
     # a cell far over CELL rows is dealt by hash too, so no task gets an unbounded group
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("_n"))
     keyed = dealt.join(sizes, "cell").withColumn("cell", F.concat_ws("-", "cell", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n") / (2 * CELL))))).drop("_n")
-    parted = keyed.select("doc_id", "v", "cell").groupBy("cell").applyInPandas(parts, "doc_id long, cell string, part long")
-    numbers = parted.groupBy("cell", "part").agg(F.min("doc_id").alias("least"))
-    numbers = numbers.withColumn("cluster_id", (F.row_number().over(Window.orderBy("least")) - 1 + first_id).cast("int")).drop("least")
+    shared_dir(docs.sparkSession)
+    parted = keyed.select("doc_id", "v", "cell").groupBy("cell").applyInPandas(parts, "doc_id long, cell string, part long").checkpoint()
+    # numbers go on from cell to cell: the driver gets a row for each cell
+    counts = parted.groupBy("cell").agg(F.min("doc_id").alias("least"), F.count_distinct("part").alias("n")).orderBy("least").collect()
+    firsts, first = [], first_id
+    for r in counts:
+        firsts.append((r["cell"], first))
+        first += r["n"]
+    firsts = docs.sparkSession.createDataFrame(firsts, "cell string, first long")
+    numbers = parted.groupBy("cell", "part").agg(F.min("doc_id").alias("least")).join(firsts, "cell")
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("least"))
+    numbers = numbers.select("cell", "part", (place - 1 + F.col("first")).cast("int").alias("cluster_id"))
     return docs.join(parted.join(numbers, ["cell", "part"]).select("doc_id", "cluster_id"), "doc_id")
 
 
@@ -98,33 +108,31 @@ def assign(docs: DataFrame, centroids: np.ndarray, ids: np.ndarray, name: str =
 
 
 def centroids(docs: DataFrame) -> DataFrame:
-    """(cluster_id, centroid, members) of docs (cluster_id, v): normalized means, position by position."""
+    """(cluster_id, centroid, members, closeness) of docs (cluster_id, v): normalized means, position by position.
+
+    closeness is the mean's length: the mean score of the members (at unit length) for the centroid.
+    """
     at = docs.select("cluster_id", F.posexplode("v").alias("pos", "x")).groupBy("cluster_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
     whole = at.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"), F.first("n").alias("members"))
-    return whole.select("cluster_id", V.normalize(F.transform("c", lambda s: s["x"].cast("float"))).alias("centroid"), "members")
+    mean = F.transform("c", lambda s: s["x"].cast("float"))
+    return whole.select("cluster_id", V.normalize(mean).alias("centroid"), "members", V.norm(mean).alias("closeness"))
 
 
 def neighbor_lists(ids: np.ndarray, matrix: np.ndarray, degree: int) -> list[list[int]]:
-    """Per cluster its ``degree`` nearest others and those that chose it.
+    """Per cluster the ids of its ``degree`` nearest others, ascending; ties go to the lesser id.
 
-    Reverse edges are added; a list that grows over the degree keeps the least ids.
+    Edges back are not added: a full list would have to drop one of its own best for them.
     """
-    n = len(ids)
-    out: list[set[int]] = [set() for _ in range(n)]
-    if degree > 0:
-        wide = matrix.astype(np.float64)
-        for start in range(0, n, 1024):
-            scores = wide[start : start + 1024] @ wide.T
-            for row, own in enumerate(scores, start):
-                own[row] = -np.inf
-                best = np.lexsort((ids, -own))[: min(degree, n - 1)] if n <= 4096 else _top(own, ids, min(degree, n - 1))
-                out[row].update(best.tolist())
-        for row in range(n):
-            for other in list(out[row]):
-                out[other].add(row)
-    return [sorted(int(ids[k]) for k in own)[:degree] for own in out]
-
-
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    part = np.argpartition(-scores, k - 1)[:k]
-    return part[np.lexsort((ids[part], -scores[part]))]
+    n, out = len(ids), []
+    most = min(degree, n - 1)
+    if most < 1:
+        return [[] for _ in range(n)]
+    wide = matrix.astype(np.float64)
+    for start in range(0, n, 1024):
+        scores = wide[start : start + 1024] @ wide.T
+        scores[np.arange(len(scores)), np.arange(start, start + len(scores))] = -np.inf
+        floors = np.partition(scores, n - most, axis=1)[:, n - most]
+        for own, floor in zip(scores, floors):
+            at = np.nonzero(own >= floor)[0]  # all that tie with the last: ids decide
+            out.append(sorted(int(ids[k]) for k in at[np.lexsort((ids[at], -own[at]))[:most]]))
+    return out

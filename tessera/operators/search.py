@@ -19,8 +19,8 @@ from tessera.functions.filters import Filter
 
 #: The shortlist by codes holds so many times k rows.
 WIDEN = 4
-#: Queries of one block of a batch search, and rows that are scored against it at once.
-BLOCK, ROWS = 4096, 1024
+#: Queries of one block of a batch search, rows that are scored against it at once, and rows of a cluster that one task takes.
+BLOCK, ROWS, PART = 4096, 1024, 65_536
 
 
 def _ordered(df: DataFrame, score: str, key: str = "id") -> list[Column]:
@@ -96,16 +96,42 @@ def _batch(rows: DataFrame, qids: np.ndarray, matrix: np.ndarray, k: int) -> Dat
 def probed_topk(docs: DataFrame, queries: DataFrame, route: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank): the k best rows of the clusters routed to (qid, cluster_id), through a shortlist by codes.
 
-    A join on cluster_id: the routed pairs are small, and prune the partitions
-    of docs that are read.
+    A cluster meets its queries in one task by matrix products, which leaves the
+    shortlist of each query.  A cluster with many queries or rows is dealt out
+    in blocks of at most about BLOCK queries and PART rows.
     """
     k = max(k, 0)
-    pairs = route.join(queries.select("qid", "qv"), "qid").select("qid", "qv", "cluster_id")
-    near = docs.join(pairs, "cluster_id").select("qid", "qv", "id", "v", V.quantized_dot(F.col("qv"), F.col("q")).alias("approx"))
+    wide = max(WIDEN * k, k)
+    pairs = route.join(queries.select("qid", "qv"), "qid").select("cluster_id", "qid", "qv")
+    rows = docs.select("cluster_id", "id", "v", "q")
+    # a row for each cluster that is asked
+    dealt = pairs.groupBy("cluster_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(rows.groupBy("cluster_id").agg(F.ceil(F.count("*") / PART).alias("parts")), "cluster_id")
+    spread = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = rows.join(dealt, "cluster_id").select("cluster_id", spread("id", "parts").alias("part"), every("blocks").alias("block"), "id", "v", "q")
+    asked = pairs.join(dealt, "cluster_id").select("cluster_id", every("parts").alias("part"), spread("qid", "blocks").alias("block"), "qid", "qv")
+
+    def best(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = {"qid": [], "id": [], "approx": [], "score": []}
+        if len(own) and len(asked) and wide:
+            ids, qids = own["id"].to_numpy(), asked["qid"].to_numpy()
+            v, q = (np.stack(own[c].to_numpy()).astype(np.float64).T for c in ("v", "q"))
+            vectors = np.stack(asked["qv"].to_numpy()).astype(np.float64)
+            for start in range(0, len(qids), ROWS):
+                part = vectors[start : start + ROWS]
+                approx = np.round(part @ (q / V.SCALE), 12)
+                n = approx.shape[1]
+                floor = np.partition(approx, n - wide, axis=1)[:, n - wide, None] if n > wide else -np.inf
+                at = np.nonzero(approx >= floor)
+                for name, x in (("qid", qids[start + at[0]]), ("id", ids[at[1]]), ("approx", approx[at]), ("score", np.round(np.einsum("ij,ij->i", part[at[0]], v.T[at[1]]), 12))):
+                    out[name].append(x)
+        return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0) for c, x in out.items()})
+
+    keys = ["cluster_id", "part", "block"]
+    near = own.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best, "qid long, id string, approx double, score double")
     by = lambda c: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "id"))
-    short = near.withColumn("place", by("approx")).filter(F.col("place") <= max(WIDEN * k, k))
-    scored = short.select("qid", "id", V.dot(F.col("qv"), F.col("v")).alias("score"))
-    return scored.withColumn("rank", by("score").cast("long")).filter(F.col("rank") <= k).select("qid", "id", "score", "rank")
+    short = near.withColumn("place", by("approx")).filter(F.col("place") <= wide)
+    return short.withColumn("rank", by("score").cast("long")).filter(F.col("rank") <= k).select("qid", "id", "score", "rank")
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:

@@ -8,19 +8,23 @@ go to the lesser id.  Results have scalar columns only.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.database import Database
 from tessera.functions import filters
 from tessera.functions import vectors as V
 from tessera.operators import clusters as C
 from tessera.operators import search as S
 from tessera.plans.routing import exact_route
 from tessera.sources import oplog
+from tessera.sources.files import shared_dir
 
-#: Queries of a batch: ids below this; hits of a query.
-N_QUERIES, K = 20, 10
+#: Queries of a batch: the ids that this divides; hits of a query; clusters of ten (labels, without structure) that are probed.
+EVERY, K, PROBED = 50, 10, 9
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +47,7 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> np.ndarra
 
 
 def batch(docs: DataFrame) -> DataFrame:
-    return docs.filter(F.col("doc_id") < N_QUERIES).select(F.col("doc_id").alias("qid"), F.col("v").alias("vector"))
+    return docs.filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("qid"), F.col("v").alias("vector"))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -133,14 +137,20 @@ def _label_clusters(docs: DataFrame) -> DataFrame:
 
 def assign_nearest_centroid(spark, sf_dir):
     docs = collection(spark, sf_dir)
-    route = exact_route(docs.select(F.col("doc_id").alias("qid"), F.col("v").alias("qv")), _label_clusters(docs), 1)
-    return rounded(route.select(F.col("qid").alias("doc_id"), "cluster_id", "score"), "score")
+    own = _label_clusters(docs).orderBy("cluster_id").toPandas()
+    placed = C.assign(docs.select("doc_id", "v"), np.stack(own["centroid"].to_numpy()), own["cluster_id"].to_numpy())
+    best = exact_route(docs.select(F.col("doc_id").alias("qid"), F.col("v").alias("qv")), _label_clusters(docs), 1)
+    both = placed.join(best.select(F.col("qid").alias("doc_id"), "cluster_id", "score"), ["doc_id", "cluster_id"])
+    return rounded(both.select("doc_id", "cluster_id", "score"), "score")
 
 
 def centroid_neighbours(spark, sf_dir):
-    own = _label_clusters(collection(spark, sf_dir))
+    own = _label_clusters(collection(spark, sf_dir)).checkpoint()
+    held = own.orderBy("cluster_id").toPandas()
+    lists = C.neighbor_lists(held["cluster_id"].to_numpy(), np.stack(held["centroid"].to_numpy()), 4)
+    lists = spark.createDataFrame(list(zip(map(int, held["cluster_id"]), lists)), "cluster_id int, neighbors array<int>")
     other = own.select(F.col("cluster_id").alias("neighbor"), F.col("centroid").alias("c"))
-    pairs = own.join(other, F.col("cluster_id") != F.col("neighbor"))  # clusters against clusters
+    pairs = own.join(lists.select("cluster_id", F.explode("neighbors").alias("neighbor")), "cluster_id").join(other, "neighbor")
     scored = pairs.select("cluster_id", "neighbor", V.dot(F.col("centroid"), F.col("c")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("score"), "neighbor"))
     return rounded(scored.withColumn("rank", rank.cast("long")).filter("rank <= 4"), "score")
@@ -149,7 +159,7 @@ def centroid_neighbours(spark, sf_dir):
 def ivf_probe_topk(spark, sf_dir):
     docs = collection(spark, sf_dir).withColumn("cluster_id", F.col("label"))
     queries = batch(docs).withColumnRenamed("vector", "qv")
-    route = exact_route(queries, _label_clusters(docs), 3).select("qid", "cluster_id")
+    route = exact_route(queries, _label_clusters(docs), PROBED).select("qid", "cluster_id")
     return rounded(S.probed_topk(docs, queries, route, K), "score")
 
 
@@ -169,14 +179,18 @@ def fallback_filter_search(spark, sf_dir):
 
 
 def tombstone_exclusion(spark, sf_dir):
-    docs = collection(spark, sf_dir)
-    return _topk(spark, sf_dir, docs=docs.join(docs.filter("doc_id % 5 = 0").select("id"), "id", "left_anti"))
+    _, own = _database(spark, sf_dir)
+    own.delete_batch(_fifths(spark, sf_dir))
+    found = own.brute_force_search(query_vector(spark, sf_dir), K)
+    return rounded(spark.createDataFrame([(h["id"], h["score"]) for h in found.hits], "id string, score double"), "score")
 
 
 def compaction_live_set(spark, sf_dir):
-    docs = collection(spark, sf_dir)
-    live = docs.join(docs.filter("doc_id % 5 = 0").select("id"), "id", "left_anti")
-    return live.groupBy("label").agg(F.count("*").alias("live"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    _, own = _database(spark, sf_dir)
+    own.delete_batch(_fifths(spark, sf_dir))
+    own.compact()
+    number = F.col("id").cast("long")
+    return own.documents().groupBy(F.col("metadata")["label"].cast("int").alias("label")).agg(F.count("*").alias("live"), F.min(number).alias("first_doc"), F.max(number).alias("last_doc"))
 
 
 def _event_log(spark, sf_dir):
@@ -194,27 +208,38 @@ def duplicate_insert_check(spark, sf_dir):
     return inserts.groupBy("id").agg(F.count("*").alias("n_inserts")).filter("n_inserts > 1")
 
 
+def _fifths(spark, sf_dir):
+    return collection(spark, sf_dir).filter("doc_id % 5 = 0").select("id")
+
+
 def stats_counts(spark, sf_dir):
-    rows = collection(spark, sf_dir).withColumn("deleted", F.col("doc_id") % 5 == 0)
-    return rows.agg(F.count_if("deleted").alias("deleted_documents"), F.count_if(~F.col("deleted")).alias("live_documents"))
+    _, own = _database(spark, sf_dir)
+    own.delete_batch(_fifths(spark, sf_dir))
+    told = own.stats()
+    return spark.createDataFrame([(told["deleted_documents"], told["live_documents"])], "deleted_documents long, live_documents long")
 
 
 def needs_compaction(spark, sf_dir):
-    counts = stats_counts(spark, sf_dir)
-    dead, live = F.col("deleted_documents"), F.col("live_documents")
-    return counts.select(((dead > 0) & ((dead >= 64) | (dead / (dead + live) >= 0.2))).alias("needs_compaction"))
+    _, own = _database(spark, sf_dir)
+    before = own.needs_compaction()
+    own.delete_batch(_fifths(spark, sf_dir))
+    after = own.needs_compaction()
+    own.compact()
+    return spark.createDataFrame([(before, after, own.needs_compaction())], "before boolean, needs_compaction boolean, compacted boolean")
 
 
 def fetch_by_id(spark, sf_dir):
-    found = collection(spark, sf_dir).filter("id = '42'").select("id", F.col("metadata")["label"].alias("label"), F.col("metadata")["price"].alias("price"), F.posexplode("v").alias("pos", "x"))
-    return found.select("id", "label", "price", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 6).alias("x"))
+    _, own = _database(spark, sf_dir)
+    found = own.fetch("42")
+    rows = [(found["id"], found["metadata"]["label"], found["metadata"]["price"], k, float(x)) for k, x in enumerate(found["vector"])]
+    return rounded(spark.createDataFrame(rows, "id string, label string, price string, pos long, x double"), "x")
 
 
 def recall_at_k(spark, sf_dir):
     docs = collection(spark, sf_dir).withColumn("cluster_id", F.col("label"))
     queries = batch(docs)
     routed = queries.withColumnRenamed("vector", "qv")
-    found = S.probed_topk(docs, routed, exact_route(routed, _label_clusters(docs), 3).select("qid", "cluster_id"), K)
+    found = S.probed_topk(docs, routed, exact_route(routed, _label_clusters(docs), PROBED).select("qid", "cluster_id"), K)
     return rounded(S.recall(found, S.batch_topk(docs, queries, K), K), "recall")
 
 
@@ -222,13 +247,7 @@ def recall_at_k(spark, sf_dir):
 
 
 def _database(spark: SparkSession, sf_dir: str):
-    import tempfile
-    import uuid
-
-    from tessera.database import Database
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    made = Database(spark, f"{shared}/tessera-db-{uuid.uuid4().hex}")
+    made = Database(spark, f"{shared_dir(spark)}/tessera-db-{uuid.uuid4().hex}")
     path = made.store.path(made.root)
     made.store.fs(made.root).deleteOnExit(path)
     own = made.create_collection("vectors", 64, max_cluster_size=32)
@@ -237,17 +256,25 @@ def _database(spark: SparkSession, sf_dir: str):
 
 
 def ann_graph_search(spark, sf_dir):
-    """Graph-routed search for each of five queries, with the share of the exact hits found."""
+    """Graph-routed search, as it is by default, for every query, with the share of the exact hits found."""
     _, own = _database(spark, sf_dir)
+    asked = batch(collection(spark, sf_dir)).orderBy("qid").collect()  # a stated set, one search each
+    exact = {(r["qid"], r["id"]) for r in own.batch_search(batch(collection(spark, sf_dir)), K).collect()}
     rows = []
-    for vec_id in range(5):
-        q = query_vector(spark, sf_dir, vec_id)
-        found, exact = own.search(q, K), own.brute_force_search(q, K)
-        both = {h["id"] for h in found.hits} & {h["id"] for h in exact.hits}
-        rows.append((vec_id, len(found.hits), found.stats.visited_clusters, found.stats.candidate_count, len(both) / K))
+    for r in asked:
+        found = own.search(r["vector"], K)
+        both = {(r["qid"], h["id"]) for h in found.hits} & exact
+        rows.append((r["qid"], len(found.hits), found.stats.visited_clusters, found.stats.candidate_count, len(both) / K))
     return spark.createDataFrame(rows, "qid long, n_hits long, visited_clusters long, candidate_count long, recall double")
 
 
+def batch_recall(spark, sf_dir):
+    """The routed batch search, as it is by default, against all rows."""
+    _, own = _database(spark, sf_dir)
+    asked = batch(collection(spark, sf_dir))
+    return rounded(S.recall(own.batch_search(asked, K, exact=False), own.batch_search(asked, K), K), "recall")
+
+
 def split_clusters(spark, sf_dir):
     built = C.build(collection(spark, sf_dir).select("doc_id", "v"), max_cluster_size=32)
     return built.groupBy("cluster_id").agg(F.count("*").alias("members"))
@@ -263,7 +290,8 @@ def backup_restore(spark, sf_dir):
 def diagnostics(spark, sf_dir):
     _, own = _database(spark, sf_dir)
     own.delete("7")
-    told = own.diagnostics() | {k: own.stats()[k] for k in ("live_documents", "deleted_documents", "clusters")}
+    told = own.diagnostics() | {k: own.stats()[k] for k in ("live_documents", "deleted_documents")}
+    told["wal_bytes"] = "some" if told["wal_bytes"] else "none"
     return spark.createDataFrame([(k, str(v)) for k, v in sorted(told.items())], "name string, value string")
 
 
@@ -272,7 +300,7 @@ QUERIES = {
     for f in (
         normalize_vectors, quantize_vectors, quantized_scores, exact_topk, exact_topk_filter_eq, exact_topk_filter_range, exact_topk_filter_and, range_no_bounds, non_numeric_metadata,
         filter_candidates_intersect, inverted_index_counts, shortlist_rerank, centroids_by_label, assign_nearest_centroid, centroid_neighbours, ivf_probe_topk, batch_topk, fallback_filter_search,
-        tombstone_exclusion, compaction_live_set, oplog_replay, duplicate_insert_check, needs_compaction, stats_counts, fetch_by_id, recall_at_k, ann_graph_search, split_clusters, backup_restore, diagnostics,
+        tombstone_exclusion, compaction_live_set, oplog_replay, duplicate_insert_check, needs_compaction, stats_counts, fetch_by_id, recall_at_k, ann_graph_search, batch_recall, split_clusters, backup_restore, diagnostics,
     )
 }
 
@@ -301,12 +329,12 @@ cells AS (SELECT label, pos, avg(CAST(v[pos] AS DOUBLE)) AS x FROM docs, range(1
 means AS (SELECT label, list(CAST(x AS FLOAT) ORDER BY pos) AS m FROM cells GROUP BY label),
 cents AS (SELECT label AS cluster_id, list_transform(m, lambda x: CAST(CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(m, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) AS FLOAT)) AS centroid FROM means)"""
 _TRUTH = f"""
-pairs AS (SELECT a.doc_id AS qid, b.id, {_dot('a.v', 'b.v')} AS s FROM docs a, docs b WHERE a.doc_id < {N_QUERIES}),
+pairs AS (SELECT a.doc_id AS qid, b.id, {_dot('a.v', 'b.v')} AS s FROM docs a, docs b WHERE a.doc_id % {EVERY} = 0),
 truth AS (SELECT qid, id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM pairs)"""
 _PROBED = f"""
-routed AS (SELECT a.doc_id AS qid, c.cluster_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY {_dot('a.v', 'c.centroid')} DESC, c.cluster_id) AS rank FROM docs a, cents c WHERE a.doc_id < {N_QUERIES}),
+routed AS (SELECT a.doc_id AS qid, c.cluster_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY {_dot('a.v', 'c.centroid')} DESC, c.cluster_id) AS rank FROM docs a, cents c WHERE a.doc_id % {EVERY} = 0),
 near AS (SELECT r.qid, b.id, {_dot('a.v', 'b.v')} AS s, row_number() OVER (PARTITION BY r.qid ORDER BY {_approx('a.v', 'b.q')} DESC, b.id) AS place
-  FROM routed r JOIN coded b ON b.label = r.cluster_id JOIN docs a ON a.doc_id = r.qid WHERE r.rank <= 3),
+  FROM routed r JOIN coded b ON b.label = r.cluster_id JOIN docs a ON a.doc_id = r.qid WHERE r.rank <= {PROBED}),
 probed AS (SELECT qid, id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM near WHERE place <= {4 * K})"""
 
 
@@ -345,8 +373,12 @@ ORACLE_SQL = {
     "compaction_live_set": "SELECT label, count(*) AS live, min(vec_id) AS first_doc, max(vec_id) AS last_doc FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY label",
     "oplog_replay": f"WITH {_LOG}, firsts AS (SELECT id, min(seq) AS inserted, arg_min(kind, seq) AS kind FROM ops WHERE op = 'insert' GROUP BY id), dels AS (SELECT id, max(seq) AS d FROM ops WHERE op = 'delete' GROUP BY id) SELECT f.id, inserted, coalesce(d > inserted, FALSE) AS deleted, kind FROM firsts f LEFT JOIN dels USING (id)",
     "duplicate_insert_check": f"WITH {_LOG} SELECT id, count(*) AS n_inserts FROM ops WHERE op = 'insert' GROUP BY id HAVING count(*) > 1",
-    "needs_compaction": "WITH c AS (SELECT count(*) FILTER (vec_id % 5 = 0) AS dead, count(*) AS n FROM embeddings) SELECT dead > 0 AND (dead >= 64 OR dead / n >= 0.2) AS needs_compaction FROM c",
+    "needs_compaction": "WITH c AS (SELECT count(*) FILTER (vec_id % 5 = 0) AS dead, count(*) AS n FROM embeddings) SELECT FALSE AS before, dead > 0 AND (dead >= 64 OR dead / n >= 0.2) AS needs_compaction, FALSE AS compacted FROM c",
     "stats_counts": "SELECT count(*) FILTER (vec_id % 5 = 0) AS deleted_documents, count(*) FILTER (vec_id % 5 <> 0) AS live_documents FROM embeddings",
     "fetch_by_id": f"WITH {_DOCS} SELECT id, CAST(label AS VARCHAR) AS label, CAST(price AS VARCHAR) AS price, pos - 1 AS pos, round(CAST(v[pos] AS DOUBLE), 6) AS x FROM docs, range(1, 65) AS r(pos) WHERE id = '42'",
+    "backup_restore": "SELECT count(*) AS rows, count(*) AS restored FROM embeddings",
+    "diagnostics": """WITH c AS (SELECT count(*) AS n FROM embeddings)
+SELECT unnest(['active_leases', 'compaction_recommended', 'current_generation', 'deleted_documents', 'dirty_operations', 'live_documents', 'name', 'pending_cleanup', 'readable_generations', 'retired_generations', 'wal_bytes']) AS name,
+  unnest(['{}', 'False', 'gen-1', '1', '1', CAST(n - 1 AS VARCHAR), 'vectors', '[]', '[''gen-1'']', '[]', 'some']) AS value FROM c""",
     "recall_at_k": f"WITH {_DOCS}, {_CENTROIDS}, {_TRUTH}, {_PROBED} SELECT t.qid, round(count(p.id) / {K}.0::DOUBLE, 6) AS recall FROM (SELECT * FROM truth WHERE rank <= {K}) t LEFT JOIN (SELECT * FROM probed WHERE rank <= {K}) p ON p.qid = t.qid AND p.id = t.id GROUP BY t.qid",
 }

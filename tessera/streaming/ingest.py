@@ -17,8 +17,7 @@ def apply_batch(collection: Collection, ops: DataFrame) -> None:
     """
     inserts = ops.filter("op = 'insert'").dropDuplicates(["id"]).join(collection.known_ids(), "id", "left_anti")
     collection.insert_batch(inserts.select("id", "vector", "metadata"))
-    for row in ops.filter("op = 'delete'").select("id").distinct().toLocalIterator():
-        collection.delete(row["id"])
+    collection.delete_batch(ops.filter("op = 'delete'").select("id"))
 
 
 def ingest(stream: DataFrame, collection: Collection, checkpoint: str) -> StreamingQuery:
