@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,21 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.files import shared_dir
+
 #: Rows and bytes of one Arrow batch: what a Python worker holds at once.
 BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one in /tmp where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again.
 
@@ -83,6 +73,13 @@ def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def set_aside(df: DataFrame, own: list[str]) -> tuple[DataFrame, list[Column]]:
+    """df with all columns but its own under names that no operator uses, and what to select to have them back."""
+    other = [c for c in df.columns if c not in own]
+    names = {c: f"aside{k}" for k, c in enumerate(other)}
+    return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns]), [F.col(names.get(c, c)).alias(c) for c in df.columns]
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts; null counts as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

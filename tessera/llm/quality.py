@@ -300,7 +300,8 @@ def keep_good(docs: DataFrame, min_rows: int = 200, cutoff: float = CUTOFF) -> D
 
     A row is known by its id and a hash of what it is judged by, so rows with the same of these share their fate.
     """
+    docs, back = common.set_aside(docs, ["doc_id", "text", "lang", "source"])
     told = F.xxhash64("text", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("lang", "source")])
     rows = docs.withColumn("_row", told)
     bad = judged(rows, min_rows, cutoff).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad"), F.col("_row").alias("_bad_row")).distinct()
-    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["_bad"]) & (rows["_row"] == bad["_bad_row"]), "left_anti").drop("_row")
+    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["_bad"]) & (rows["_row"] == bad["_bad_row"]), "left_anti").select(*back)

@@ -25,6 +25,8 @@ all ids in it are null; other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,19 +181,41 @@ def _small_groups(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius
     return own[a_out], own[b_out]
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 disjoint blocks of the 64 bits."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
+def _blocks(parts: int) -> list[tuple[int, int]]:
+    """(shift, width) of so many disjoint blocks of the 64 bits."""
+    edges = [64 * k // parts for k in range(parts + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _units(classes: DataFrame, radius: int) -> DataFrame:
+def _parts(n: int, radius: int) -> int:
+    """Into how many blocks to cut fingerprints so that n of them make the fewest rows to compare.
+
+    Of ``parts`` blocks two near fingerprints share parts - radius at least, so
+    every choice of that many blocks is a key.  More blocks give more and
+    longer keys: a fingerprint has a row for each key, times the tiles of its
+    bucket.  All links are found whatever the number.
+    """
+
+    def rows(parts: int) -> float:
+        shared = parts - radius
+        return math.comb(parts, shared) * max(1.0, n / 2.0 ** (64 * shared / parts) / TILE)
+
+    return min(range(radius + 1, max(radius + 2, min(64, radius + 5))), key=rows)
+
+
+def _units(classes: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
     """Rows (unit, side, fp): what is to be compared with each other.
 
     side 0 alone: within; sides 1 and 2: across.
     """
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1).alias("key")) for k, (s, w) in enumerate(_blocks(radius))])
-    rows = classes.select("fp", F.explode(keys).alias("b")).select("fp", F.bit_count("fp").cast("int").alias("pc"), "b.band", "b.key")
+    parts = parts or _parts(classes.count(), radius)
+    blocks, keys = _blocks(parts), []
+    for band, chosen in enumerate(itertools.combinations(blocks, parts - radius)):
+        key = F.lit(0).cast("long")
+        for shift, width in chosen:
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1))
+        keys.append(F.struct(F.lit(band).alias("band"), key.alias("key")))
+    rows = classes.select("fp", F.explode(F.array(*keys)).alias("b")).select("fp", F.bit_count("fp").cast("int").alias("pc"), "b.band", "b.key")
     by_count = rows.groupBy("band", "key", "pc").agg(F.count("*").alias("n"))
     large = (
         by_count.groupBy("band", "key")
@@ -249,11 +273,14 @@ def _compare(radius: int):
     return run
 
 
-def links(classes: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) whose components are those of all links within the radius."""
+def links(classes: DataFrame, radius: int = 4, parts: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) whose components are those of all links within the radius.
+
+    parts (by default chosen by how many fingerprints there are) changes the cost, not the components.
+    """
     spark = classes.sparkSession
     common.bounded_batches(spark, 50_000)
-    units = _units(classes, radius).repartition(common.shuffle_parts(spark), *_UNIT).sortWithinPartitions(*_UNIT)
+    units = _units(classes, radius, parts).repartition(common.shuffle_parts(spark), *_UNIT).sortWithinPartitions(*_UNIT)
     return units.select(*_UNIT, "side", "fp").mapInArrow(_compare(radius), _LINKS)
 
 
@@ -303,11 +330,11 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
 
     Rows are told apart by a number of their own, so null and repeated ids do no harm.
     """
+    docs, back = common.set_aside(docs, ["doc_id", "text"])
     rows = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), "_row")
     found = near_duplicates(rows.select(own.alias("doc_id"), "text"), shingle, radius).filter(F.col("doc_id._row") == F.col("component_id._row"))
-    return rows.join(found.select(F.col("doc_id._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
-
+    return rows.join(found.select(F.col("doc_id._row").alias("_row")), "_row", "left_semi").select(*back)
 
 
 # -- copies by similarity --------------------------------------------------------
@@ -443,6 +470,7 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     similarity, and what they lead to.  Rows are told apart by a number of their
     own, so null and repeated ids do no harm.
     """
+    docs, back = common.set_aside(docs, ["doc_id", "text"])
     rows = common.written(_sketched(docs, shingle).withColumn("_row", F.monotonically_increasing_id()), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), "_row")
     classes = common.written(rows.groupBy("_set").agg(F.min(first).alias("least")), "classes")
@@ -452,4 +480,4 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     label = components(edges).withColumnRenamed("node", "_set")
     named = classes.join(label, "_set", "left").select(F.coalesce("label", "_set").alias("label"), "least")
     kept = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
-    return rows.join(common.written(kept, "kept"), "_row", "left_semi").select(*docs.columns)
+    return rows.join(common.written(kept, "kept"), "_row", "left_semi").select(*back)

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ def test_against_brute_force(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_hot_buckets_are_tiled(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [None, 5, 6, 7])
+def test_hot_buckets_are_tiled(spark, monkeypatch, parts):
     """One large group of near fingerprints, chains across tiles, and random ones."""
     monkeypatch.setattr(simhash, "TILE", 20)
     monkeypatch.setattr(simhash, "BLOCK", 7)
@@ -61,7 +64,7 @@ def test_hot_buckets_are_tiled(spark, monkeypatch):
     fps |= {r.getrandbits(64) for _ in range(100)} | {0, 1, 3, 2**64 - 1}
     fps = sorted(fps)
     classes = spark.createDataFrame([(x - (x >> 63 << 64),) for x in fps], "fp long")
-    links = simhash.links(classes)
+    links = simhash.links(classes, parts=parts)
     found = {r["node"] % 2**64: r["label"] for r in simhash.components(links).collect()}
     want = closure(fps, list(range(len(fps))))
     groups = {}
@@ -70,7 +73,7 @@ def test_hot_buckets_are_tiled(spark, monkeypatch):
     for own in groups.values():
         assert len({found.get(x, ("alone", x)) for x in own}) == 1
         assert len(own) == 1 or len([x for x in fps if found.get(x) == found[own[0]]]) == len(own)
-    assert links.count() < 6 * len(fps) * 4
+    assert links.count() < 6 * len(fps) * 4 * (1 if parts == 5 else 7)
 
 
 def test_tile_links_span_and_are_few():
@@ -145,3 +148,21 @@ def test_null_and_repeated_ids(spark):
     want = sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3]), ("8", texts[4]), ("7", texts[5])])
     for keep in (simhash.keep_one, simhash.keep_dissimilar):
         assert sorted((str(x["doc_id"]), x["text"]) for x in keep(docs).collect()) == want
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    """Rows for each fingerprint stay few at any number; the blocks never miss a link."""
+    assert [simhash._parts(n, 4) for n in (10, 10**6, 10**8, 10**11)] == [5, 5, 6, 7]
+    for n in (10**6, 10**8, 10**9, 10**10, 10**11):
+        parts = simhash._parts(n, 4)
+        rows = math.comb(parts, parts - 4) * max(1, n / 2 ** (64 * (parts - 4) / parts) / simhash.TILE)
+        assert rows < 40, (n, rows)
+    assert all(sum(w for _, w in simhash._blocks(p)) == 64 for p in (5, 6, 7))
+
+
+def test_columns_of_any_name_come_back(spark):
+    rows = [(k, t, k * 10, f"r{k}", [k]) for k, t in enumerate(["one two three four five six"] * 3 + ["other words are here in this text", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, _kept string, _set array<int>")
+    for keep in (simhash.keep_one, simhash.keep_dissimilar):
+        kept = keep(docs)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[3], rows[4]]
