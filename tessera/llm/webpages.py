@@ -11,10 +11,17 @@ descendant contradict each other.
 The trees are trained here, on pages that ``sample_page`` makes up from a seed
 (``TRAINING`` pages, a fixed number); nothing of the input is used for that.
 
-Defined results: null and empty pages have the empty text; scripts, styles,
-comments, head, and what only controls show never count as text; character
-references are decoded; white space in a block becomes one space; blocks are
-joined by a newline in page order; equal rows give equal texts.
+Parsing takes linear time whatever the page: what is looked for and not there
+is looked for once, and at most DEPTH blocks are open at a time.  A page without
+html or body has them implied; a quote that is never closed does not hide the
+end of its tag.
+
+Defined results: null and empty pages have the empty text, an empty table an
+empty result; scripts, styles, comments, head, and what only controls show never
+count as text; character references are decoded; white space in a block becomes
+one space; blocks are joined by a newline in page order; pages of any length are
+parsed whole; equal rows give equal texts; columns other than page_id, url and
+html are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,14 +40,14 @@ from tessera.llm import common
 from tessera.llm.trees import BoostedTrees
 
 #: Pages that the trees are trained on, and the seed they come from.
-TRAINING, SEED = 1500, 11
+TRAINING, SEED = 2000, 11
 #: Elements that start a block; the rest is inline.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-SKIPPED = frozenset("script style noscript template iframe object svg math select button textarea canvas audio video title datalist".split())
+SKIPPED = frozenset("script style noscript template iframe object svg select button textarea canvas audio video title datalist".split())
 #: An open element of the first kind ends where one of the others starts.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,10 +64,74 @@ WORDS = {
 }
 GROUP = {w: k for k, (_, words) in enumerate(WORDS.items()) for w in words.split()}
 KINDS = ["nav", "footer", "aside", "header", "form", "article", "main", "section", "p", "li", "blockquote"]
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_UNQUOTED = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|aria-hidden|style|hidden|data-[\w-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARK = "\u2060"
+#: Blocks that may be open at once; what would open deeper stands beside the last of them.
+DEPTH = 512
+#: Blocks that end others, and where the search for those stops.
+_ENDS = {new: frozenset(old for old, by in ENDED_BY.items() if new in by) for new in {x for by in ENDED_BY.values() for x in by}}
+_LISTS = frozenset("ul ol dl table menu dir".split())
+
+
+class _Source:
+    """A page's text and where its tags end; what is not there is looked for once, so a page takes linear time."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.absent = text, set()
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of what, or -1."""
+        found = -1 if what in self.absent else self.text.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def closing(self, name: str, at: int) -> int:
+        """After the closing tag of the element, or -1."""
+        if name not in self.absent:
+            if m := re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.text, at):
+                return m.end()
+            self.absent.add(name)
+        return -1
+
+    def after_head(self, at: int) -> int:
+        """Where a head that starts here ends; here, if nothing ends it."""
+        if "<head" not in self.absent:
+            if m := re.compile(r"</head\s*>|<body\b", re.I).search(self.text, at):
+                return m.end() if m[0][1] == "/" else m.start()
+            self.absent.add("<head")
+        return at
+
+    def tag(self, at: int) -> tuple[int, str | None, bool, str]:
+        """What the < at the place starts: its end (the place itself if it is text), the element's name (None: none), whether it closes, attributes."""
+        text = self.text
+        if text.startswith("<!--", at):
+            end = self.find("-->", at + 4)
+            return (len(text) if end < 0 else end + 3), None, False, ""
+        if text.startswith("<![CDATA[", at):
+            return at + 9, None, False, ""
+        if text.startswith(("<!", "<?"), at):
+            end = self.find(">", at)
+            return (at if end < 0 else end + 1), None, False, ""
+        m = _NAME.match(text, at + 1)
+        if not m:
+            return at, None, False, ""
+        start = end = m.end()
+        while True:
+            end = _UNQUOTED.match(text, end).end()
+            if end >= len(text) or text[end] == ">":
+                break
+            quote = self.find(text[end], end + 1)
+            if quote < 0:  # never closed: the tag ends as if it were no quote
+                end = self.find(">", end)
+                break
+            end = quote + 1
+        if end < 0 or end >= len(text):
+            return at, None, False, ""
+        return end + 1, m[1].lower(), text[at + 1] == "/", text[start:end]
 
 
 class Page:
@@ -75,55 +146,58 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, run, at, link, size = [0], [], 0, 0, len(source)
-        search = _TAG.search
+        self.open = {"html": 1}
+        tags = _Source(source)
 
         def flush() -> None:
             if run:
                 text = " ".join("".join(run).split())
                 if text:
+                    if len(stack) == 1:
+                        self._push(stack, "body", "")
                     self.runs.append((stack[-1], text))
                 run.clear()
 
+        def add(piece: str) -> None:
+            if "&" in piece:
+                piece = entities.unescape(piece)
+            run.append(piece)
+            if link:
+                if len(stack) == 1:
+                    self._push(stack, "body", "")
+                self.links[stack[-1]] += len(piece.strip())
+
         while at < size:
-            m = search(source, at)
-            end = m.start() if m else size
-            if end > at:
-                piece = source[at:end]
-                if "&" in piece:
-                    piece = entities.unescape(piece)
-                run.append(piece)
-                if link:
-                    self.links[stack[-1]] += len(piece.strip())
-            if not m:
+            start = source.find("<", at)
+            start = size if start < 0 else start
+            if start > at:
+                add(source[at:start])
+            if start == size:
                 break
-            at = m.end()
-            closing, name = m[1], m[2]
+            at, name, closing, attributes = tags.tag(start)
+            if at == start:  # no tag: the sign is text
+                at += 1
+                add("<")
+                continue
             if name is None:
                 continue
-            name = name.lower()
             if name in BLOCKS:
                 flush()
                 link = 0
                 if closing:
                     self._close(stack, name)
-                elif name in ("html", "body") and any(self.name[k] == name for k in stack):
-                    pass
-                else:
+                elif name not in ("html", "body") or not self.open.get(name):
                     self._end_implied(stack, name)
-                    self.parent.append(stack[-1])
-                    self.name.append(name)
-                    self.groups.append(_groups(m[3]) if m[3] else self.groups[0])
-                    for counts in (self.inputs, self.links, self.inner):
-                        counts.append(0)
-                    stack.append(len(self.name) - 1)
+                    if len(stack) == 1 and name != "body":
+                        self._push(stack, "body", "")
+                    self._push(stack, name, attributes)
             elif name == "head" and not closing:
-                after = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
-                at = at if after is None else after.start() if after[0][1] != "/" else after.end()
+                at = tags.after_head(at)
             elif name in SKIPPED:
                 if not closing:
-                    after = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                    if after:
-                        at = after.end()
+                    after = tags.closing(name, at)
+                    if after >= 0:
+                        at = after
                     elif name in ("script", "style"):
                         at = size
                     self.inputs[stack[-1]] += name in ("select", "button", "textarea")
@@ -137,22 +211,40 @@ class Page:
                     link = 0 if closing else 1
         flush()
 
+    def _push(self, stack: list[int], name: str, attributes: str) -> None:
+        if len(stack) > DEPTH:
+            self._cut(stack, len(stack) - 1)
+        self.parent.append(stack[-1])
+        self.name.append(name)
+        self.groups.append(_groups(attributes) if attributes else self.groups[0])
+        for counts in (self.inputs, self.links, self.inner):
+            counts.append(0)
+        stack.append(len(self.name) - 1)
+        self.open[name] = self.open.get(name, 0) + 1
+
+    def _cut(self, stack: list[int], k: int) -> None:
+        for block in stack[k:]:
+            self.open[self.name[block]] -= 1
+        del stack[k:]
+
     def _close(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.name[stack[k]] == name:
-                del stack[k:]
-                return
+        if self.open.get(name):
+            for k in range(len(stack) - 1, 0, -1):
+                if self.name[stack[k]] == name:
+                    return self._cut(stack, k)
 
     def _end_implied(self, stack: list[int], name: str) -> None:
         top = self.name[stack[-1]]
         if top == "p" or top in HEADINGS and name in HEADINGS:
-            stack.pop()
-        for k in range(len(stack) - 1, 0, -1):
-            open_name = self.name[stack[k]]
-            if name in ENDED_BY.get(open_name, ()):
-                del stack[k:]
-            elif open_name in ("ul", "ol", "dl", "table", "menu", "dir"):
-                break
+            self._cut(stack, len(stack) - 1)
+        ended = _ENDS.get(name, ())
+        if any(map(self.open.get, ended)):
+            for k in range(len(stack) - 1, 0, -1):
+                open_name = self.name[stack[k]]
+                if open_name in ended:
+                    self._cut(stack, k)
+                elif open_name in _LISTS:
+                    break
 
 
 def _groups(attributes: str) -> tuple[int, ...]:
@@ -311,10 +403,15 @@ def sample_page(r: random.Random) -> str:
         inside, shape = "".join(parts), r.random()
         if shape < 0.62:
             return f"<article{r.choice(['', '', attribute(['post', 'article', 'entry'])])}>{inside}</article>"
-        if shape < 0.9:
+        if shape < 0.86:
             return f"<{(t := r.choice(['div', 'main', 'section']))}{attribute(['content', 'post', 'entry-content', 'article-body', 'story', 'main'])}>{inside}</{t}>"
-        return f"<div>{inside}</div>"
+        return inside if shape > 0.96 else f"<div>{inside}</div>"
 
+    if r.random() < 0.12:  # text alone, in a body or in none
+        texts = [f"{_MARK}{prose(1, 8)}" for _ in range(r.choice([1, 1, 2, 4]))]
+        text = r.choice([r.choice(["<br><br>", " "]).join(texts), "".join(f"<p>{x}</p>" for x in texts)])
+        text = r.choice(["", "", f"<h1>{_MARK}{sentence(1, 8)}</h1>"]) + text
+        return r.choice([text, f"<body>{text}</body>", f"<html><body>{text}{footer()}</body></html>"])
     body = [header() if r.random() < 0.5 else "", menu(r.randint(2, 9)) if r.random() < 0.8 else "", r.choice(["", "", "<!-- ad 1 -->"])]
     body += [f() for f, p in ((notice, 0.2), (form, 0.2), (advert, 0.6), (sidebar, 0.25)) if r.random() < p]
     middle = main() if r.random() < 0.97 else ""
@@ -361,7 +458,7 @@ def main_texts(sources: list[str], model: BoostedTrees) -> list[str]:
     out = []
     for page, (blocks, _), end in zip(pages, found, ends):
         kept = decode(page, blocks, logits[end - len(blocks) : end])
-        out.append("\n".join(t for k, t in page.runs if k in kept and k))
+        out.append("\n".join(t for k, t in page.runs if k in kept))
     return out
 
 

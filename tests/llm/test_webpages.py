@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,34 @@ def test_trees_learn():
     y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
     model = BoostedTrees(trees=30, depth=3).fit(x[:1000], y[:1000])
     assert ((model.logit(x[1000:]) > 0) == (y[1000:] > 0)).mean() > 0.95
+
+
+PROSE = "The text of this page has several words and sentences. It goes on for a while, so that it is clearly what the page is about."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        PROSE, f"<p>{PROSE}</p>", f"<body>{PROSE}</body>", f"<div>{PROSE}</div>", f"<p title=\"x>{PROSE}</p>", f"<html><body><p>{PROSE}</p></body></html>",
+        f"<ul class=menu><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul>{PROSE}<footer>Copyright us</footer>",
+        f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><main><p>{PROSE}</p></main><footer><p>&copy; Somebody</p></footer></body></html>",
+        f"<body><table><tr><td><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></td><td><p>{PROSE}</p></td></tr></table></body>",
+    ],
+)
+def test_shapes_that_training_does_not_have(model, page):
+    assert text(page, model) == PROSE
+
+
+def test_mathematics_stays_and_signs_are_text(model):
+    assert text(f"<article><p>{PROSE} As <math><mi>x</mi><mo>=</mo><mn>1</mn></math> says.</p></article>", model) == f"{PROSE} As x=1 says."
+    assert text(f"<article><p>{PROSE} a < b and <3 c > d</p></article>", model) == f"{PROSE} a < b and <3 c > d"
+
+
+@pytest.mark.parametrize("piece", ['<p title="x>', "<!", "<select>", "<div>", "<div><li></li>", "</ul>", '<a "', "<", "<li><dd>", "<!--", "<head>", "<td><ul>"])
+def test_hostile_pages_take_linear_time(piece):
+    times = []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        webpages.Page(piece * n)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 24 * times[0] + 1.0
