@@ -1,8 +1,10 @@
 """Personal data replaced by surrogates.
 
 Detected: e-mail addresses, phone numbers, payment cards and other long digit
-runs, IP addresses, social security numbers, bank accounts, access keys and
-assigned secrets, and names after honorifics or with a known given name.
+runs, IP (4 and 6) and hardware addresses, social security numbers, bank
+accounts, passports and dates of birth that are called so, access keys, assigned
+or told secrets, and names after honorifics, after words that announce a name,
+or with a known given name.  A name without any of these is not detected.
 
 Surrogates come from a keyed permutation of the strings of the same format
 (cycle-walking Feistel network), so they keep type, length, case, separators,
@@ -21,11 +23,14 @@ checked against its originals, and a taken one is drawn again.
 
 Defined results: null texts stay null; texts without entities come back as they
 are; equal rows are replaced alike; other columns are untouched, but n_chars
-follows the new text where the table has it.
+follows the new text where the table has it.  An empty table gives an empty one;
+a text of any length is searched whole, by patterns that take linear time on
+ordinary text; columns may have any names but must have doc_id and text once.
 """
 
 from __future__ import annotations
 
+import datetime
 import functools
 import hashlib
 import re
@@ -62,7 +67,7 @@ _RUN = re.compile(r"[0-9][0-9().\- ]{5,}[0-9]")
 _NUMBER = re.compile(
     r"(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+(?!1)\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))"
+    r"|(?P<phone>(?<![\d.-])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?![\d-])|\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+(?!1)\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))"
     r"|(?P<card>(?<![\d-])\d{4}([ -])\d{4}\5\d{4}\5\d{4}(?![\d-])|(?<!\d)\d{13,19}(?!\d))"
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -74,6 +79,19 @@ _IBAN_LENGTH = {x[:2]: int(x[2:]) for x in (
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{30,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
 _KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AIza", "sk-", "xox")
 _ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth)[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]{6,})")
+_TOLD = re.compile(r"(?<!\w)(?:[Pp]ass(?:word|phrase|code)|PASSWORD|PIN|pin)\s+is\s+[\"']?([^\s\"'<>,;()]*\d[^\s\"'<>,;()]*)")
+_IP6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\w:])")
+_MAC = re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}(?![\w:-])")
+MONTHS = "January February March April May June July August September October November December".split()
+_MONTH = "|".join(f"{m}|{m[:3]}" for m in MONTHS)
+_DATE = rf"\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{1,2}}\.? (?:{_MONTH}) \d{{4}}|(?:{_MONTH}) \d{{1,2}}, \d{{4}}"
+_BORN = re.compile(rf"(?<!\w)(?:[Bb]orn(?: on)?|BORN(?: ON)?|[Dd]ate [Oo]f [Bb]irth|DATE OF BIRTH|DOB|dob|[Bb]irth ?date|[Bb]irthday)(?: is)?[ \t]*[:=]?[ \t]*({_DATE})(?!\w)")
+_PASSPORT = re.compile(r"(?<!\w)(?:[Pp]assport|PASSPORT)(?:[ \t]+(?:[Nn]o|NO|[Nn]umber|NUMBER|[Nn]r)\.?)?(?: is)?[ \t]*[:=#]?[ \t]*([A-Z]{0,2}\d{6,9})(?!\w)")
+#: What a full name follows.
+_CUED = re.compile(rf"(?<!\w)(?:[Mm]y name is|[Nn]ame is|[Nn]ame:|[Cc]ontact:|[Aa]ttn:|[Aa]uthor:|[Pp]atient:|[Cc]ustomer:|[Ee]mployee:|[Ss]igned by|[Rr]egards,|[Ss]incerely,)[ \t]*\n?[ \t]*({_UPPER_WORD}(?:[ \t]{_UPPER_WORD}){{1,2}})")
+_CUES = ("ame is", "ame:", "ontact:", "ttn:", "uthor:", "atient:", "ustomer:", "mployee:", "igned by", "egards,", "incerely,")
+#: The days that dates of birth are moved among.
+_FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2029, 12, 31).toordinal()
 
 
 class Surrogates:
@@ -161,7 +179,7 @@ class Surrogates:
 
     def phone(self, text: str, turn: int) -> str:
         digits = re.sub(r"\D", "", text)
-        country = 0 if not text.startswith("+") else 1 if digits[0] in "17" else 2
+        country = (digits[0] == "0") if not text.startswith("+") else 1 if digits[0] in "17" else 2
         rest = digits[country:]
         marks = "".join(("2" if d >= "2" else "0") if len(rest) == 10 and k in (0, 3) else "d" for k, d in enumerate(rest))
         pools = [{"2": "23456789", "0": "01", "d": "0123456789"}[m] for m in marks]
@@ -177,6 +195,41 @@ class Surrogates:
     def ssn(self, text: str, turn: int) -> str:
         return self.like(text, "ssn", turn)
 
+    def ipv6(self, text: str, turn: int) -> str:
+        return self.like(text, "ipv6", turn, hexadecimal=True)
+
+    def mac(self, text: str, turn: int) -> str:
+        return self.like(text, "mac", turn, hexadecimal=True)
+
+    def passport(self, text: str, turn: int) -> str:
+        return self.like(text, "passport", turn)
+
+    def born(self, text: str, turn: int) -> str:
+        """Another day in the same notation; a day has one surrogate in whichever notation."""
+        parts = re.findall(r"\d+|[A-Za-z]+", text)
+        month = next((k for k, x in enumerate(parts) if x.isalpha()), None)
+        year = 0 if len(parts[0]) == 4 else 2
+        if month is None:
+            first, second = ((1, 2) if year == 0 else (0, 1))
+            # year-month-day; else day before month, but with slashes only if it can't be a month
+            month = 1 if year == 0 else 0 if "/" in text and int(parts[0]) <= 12 or int(parts[1]) > 12 else 1
+            day = first + second - month
+        else:
+            day = 3 - year - month
+        number = int(parts[month]) if parts[month].isdigit() else next(k for k, m in enumerate(MONTHS, 1) if m.startswith(parts[month]))
+        try:
+            at = datetime.date(int(parts[year]), number, int(parts[day])).toordinal()
+        except ValueError:
+            return self.like(text, "born", turn)
+        if not _FIRST_DAY <= at <= _LAST_DAY:
+            return self.like(text, "born", turn)
+        new = datetime.date.fromordinal(_FIRST_DAY + self.move(at - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, "born", turn))
+        name, numbers = MONTHS[new.month - 1], [x for k, x in enumerate(parts) if k != year and x.isdigit()]
+        wide = 2 if any(x[0] == "0" for x in numbers) or [len(x) for x in numbers] == [2, 2] else 1
+        out = {year: str(new.year), day: f"{new.day:0{wide}d}", month: f"{new.month:0{wide}d}" if parts[month].isdigit() else name if parts[month] in MONTHS else name[:3]}
+        rest = iter(range(3))
+        return re.sub(r"\d+|[A-Za-z]+", lambda m: out[next(rest)], text)
+
     def iban(self, text: str, turn: int) -> str:
         plain = text.replace(" ", "")
         body = self.like(plain[4:], "iban", turn)
@@ -312,6 +365,23 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "secret") for m in _KEY.finditer(text)]
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret") for m in _ASSIGNED.finditer(text) if re.search(r"\d", m[1]) or "=" in m[0]]
+    if ":" in text:
+        # a digit and six characters at least: names in program text have two colons too
+        found += [(*m.span(), "ipv6") for m in _IP6.finditer(text) if len(m[0]) > 5 and any(map(str.isdigit, m[0]))]
+        found += [(*m.span(), "mac") for m in _MAC.finditer(text)]
+    elif "-" in text:
+        found += [(*m.span(), "mac") for m in _MAC.finditer(text)]
+    if " is" in text or "\tis" in text or "\nis" in text:
+        found += [(*m.span(1), "secret") for m in _TOLD.finditer(text) if len(m[1]) > 3]
+    if "irth" in text or "orn" in text or "IRTH" in text or "ORN" in text or "DOB" in text or "dob" in text:
+        found += [(*m.span(1), "born") for m in _BORN.finditer(text)]
+    if "assport" in text or "PASSPORT" in text:
+        found += [(*m.span(1), "passport") for m in _PASSPORT.finditer(text)]
+    if any(c in text for c in _CUES):
+        for m in _CUED.finditer(text):
+            words = m[1].split()
+            if words[0] not in HONORIFICS:
+                found += _parts(m[1], m.start(1), "-")
     if any(h in text for h in HONORIFICS):  # gates reject no text that the patterns match
         for m in _NAMED.finditer(text):
             found += _parts(m[3], m.start(3), HONORIFICS[m[1]])

@@ -130,3 +130,44 @@ def test_names_do_not_depend_on_the_text():
         new, done = pii.replace(text, S)
         assert len(done) == 1 and done[0][1] == text[4:] != done[0][2] and len(new) == len(text) and done[0][2][0].isupper() == text[4].isupper()
     assert S.surname("SMITH", 0) == S.surname("Smith", 0).upper() and S.surname("Anna-Zed", 0) != S.given("Zed", 0, "f")
+
+
+def test_kinds_that_are_called_so():
+    cases = {
+        "ipv6": ["2001:db8::ff00:42:8329", "fe80:0:0:0:1:2:3:4", "2001:db8:1::"], "mac": ["00:1A:2B:3C:4D:5E", "00-1a-2b-3c-4d-5e"],
+        "passport": ["X1234567", "123456789"], "phone": ["020 7946 0958", "0161 496 0123"], "secret": ["hunter22"],
+        "born": ["12 March 1985", "1985-03-12", "12.03.1985", "March 12, 1985", "3 Jan 2001", "31/12/1999", "12/31/1999"],
+    }
+    before = {"passport": "Passport No. ", "secret": "my password is ", "born": "Date of birth: "}
+    for kind, texts in cases.items():
+        for text in texts:
+            for around in ("{}", "see ({}), then", "{}; {}"):
+                own = before.get(kind, "") + text
+                new, done = pii.replace(around.format(own, own), S)
+                assert {(k, a) for k, a, _ in done} == {(kind, text)} and text not in new, (kind, text, new)
+                assert re.sub(r"[A-Za-z]+|\d+", "x", done[0][2]) == re.sub(r"[A-Za-z]+|\d+", "x", text) or kind != "born"
+    assert pii.entities("At 12:30:45 we met; born in 1985; 1:2 and a::b, the password is good, a passport is needed") == []
+
+
+def test_dates_of_birth_move_as_days():
+    """One surrogate for a day whatever its notation, no two for two days, all valid."""
+    import datetime
+
+    days = [datetime.date(1950, 1, 1) + datetime.timedelta(days=7 * k) for k in range(3000)]
+    new = [S.born(d.isoformat(), 0) for d in days]
+    assert len(set(new)) == len(new) and all(datetime.date.fromisoformat(x) != d for x, d in zip(new, days))
+    for d, x in zip(days[:200], new):
+        y = datetime.date.fromisoformat(x)
+        assert S.born(f"{d.day} {pii.MONTHS[d.month - 1]} {d.year}", 0) == f"{y.day} {pii.MONTHS[y.month - 1]} {y.year}"
+        assert S.born(f"{d.day:02d}.{d.month:02d}.{d.year}", 0) == f"{y.day:02d}.{y.month:02d}.{y.year}"
+    assert S.born("31.02.2000", 0) != "31.02.2000"
+
+
+def test_announced_names_and_many_rows(spark):
+    new, done = pii.replace("My name is Priya Sharma. Contact: Wei Zhang\nRegards,\nOlu Adeyemi. Later Priya said", S)
+    assert [a for _, a, _ in done] == ["Priya", "Sharma", "Wei", "Zhang", "Olu", "Adeyemi", "Priya"] and not re.search("Priya|Sharma|Zhang|Adeyemi", new)
+    names = ["".join(chr(97 + k // 26**j % 26) for j in range(4)).capitalize() for k in range(0, 456_976, 91)]
+    docs = spark.createDataFrame([(k, f"Mr. {n} came.") for k, n in enumerate(names)] + [(10_000 + k, f"Then Mr. {n} left.") for k, n in enumerate(names)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split()[1 if r["doc_id"] < 10_000 else 2] for r in pii.with_surrogates(docs, b"k").collect()}
+    first = [got[k] for k in range(len(names))]
+    assert len(set(first)) == len(names) > 5000 and first == [got[10_000 + k] for k in range(len(names))] and all(a != b for a, b in zip(names, first))
