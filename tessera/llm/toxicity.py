@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
 Folding makes disguised spellings equal to plain ones: case, homoglyphs of
-other scripts, digits and signs that stand for letters, zero-width characters
-and marks strewn over letters.  Accented letters stay: they tell words apart.  The lexicon (word stems and whole words with weights)
+other scripts, digits and signs that stand for letters, letters set apart or
+repeated, zero-width characters and marks strewn over letters.  Accented letters stay: they tell words apart.  The lexicon (word stems and whole words with weights)
 and its exception phrases are learned from labelled texts; the match weights,
 normalised by the text's length, go through a fitted logistic curve.
 
@@ -12,7 +12,9 @@ covers whole texts and all rows.
 
 Defined results: null and empty texts get the score of a text without matches;
 a table without labels of both kinds gives an empty lexicon and score 0;
-equal texts get equal scores; labels, ids, languages, sources and other
+texts of any length are scored whole; words of over 40 letters are matched but
+never enter the lexicon; an empty table gives an empty one; equal texts get equal
+scores; labels, ids, languages, sources and other
 columns are never inputs of a score.
 """
 
@@ -42,9 +44,14 @@ HOMOGLYPHS = {
 }
 #: Digits that stand for letters; l and i are one class, as 1 stands for both.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "l": "i"}
-#: Signs that stand for letters inside a word.
-SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t"}
-_SIGN_IN_WORD = re.compile(r"(?<=\w)[@$!|€+]+(?=\w)")
+#: Signs that stand for letters inside a word; the first three at its edges too, next to a letter.
+SIGNS = {"@": "a", "$": "s", "€": "e", "!": "i", "|": "i", "+": "t"}
+_SIGN_IN_WORD = re.compile(r"(?<=\w)[@$!|€+]+(?=\w)|(?<![\w@$€])[@$€]+(?=[^\W\d_])|(?<=[^\W\d_])[@$€]+(?![\w@$€])")
+#: Four letters or more, each set apart by the same sign or space.
+_SPACED = re.compile(r"(?<!\w)\w([.\-_*·,/ ])\w(?:\1\w){2,}(?!\w)")
+#: A word with a letter three times or more in a row, and such a row.
+_STRETCHED = re.compile(r"\w*([^\W\d_])\1\1\w*")
+_ROW = re.compile(r"([^\W\d_])\1{2,}")
 SHORTEST, LONGEST = 3, 10
 
 
@@ -73,6 +80,9 @@ def fold(text: str | None) -> str:
     text = unicodedata.normalize("NFC", text or "").lower()
     if any(s in text for s in SIGNS):
         text = _SIGN_IN_WORD.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
+    text = _SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
+    # a stretched word stands for its spellings with two letters and with one
+    text = _STRETCHED.sub(lambda m: _ROW.sub(r"\1\1", m[0]) + " " + _ROW.sub(r"\1", m[0]), text)
     return f" {text.translate(_FOLD)} "
 
 

@@ -29,6 +29,11 @@ def test_folding():
     for odd in ("ZORGLE", "zоrgle", "z0rg1e", "z​orgle", "zoŕgle".replace("́", "̶"), "ｚorgle"):
         assert toxicity.fold(odd).strip() == toxicity.fold("zorgle").strip(), odd
     assert toxicity.fold("a$$et me@t ho!") == " asset meat ho  "
+    assert toxicity.fold("a$$ @ss $hit") == " ass ass shit " and toxicity.fold("$5 5$ me@ 10€").split() == ["s", "s", "mea", "io"]
+    for odd in ("z.o.r.g.l.e", "z o r g l e", "Z-0-R-G-1-E", "(z_o_r_g_l_e)"):
+        assert toxicity.fold(odd).split() == ["zorgie"], odd
+    assert toxicity.fold("zooorgle").split() == ["zoorgie", "zorgie"] and toxicity.fold("assss").split() == ["ass", "as"] and toxicity.fold("zoo ab 1000") == " zoo ab iooo "
+    assert toxicity.fold("a b, c.d e") == " a b  c d e "
     assert toxicity.fold(None).split() == [] == toxicity.fold(" \n!").split()
     assert toxicity.fold("chón") != toxicity.fold("chon")
 
@@ -66,3 +71,19 @@ def test_odd_tables(spark):
     kept = toxicity.keep_clean(docs, lexicon)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert toxicity.keep_clean(empty(spark), lexicon).count() == 0 == toxicity.score(empty(spark), lexicon).count()
+
+
+def test_matches_are_those_of_a_naive_scan():
+    r = random.Random(8)
+    for _ in range(300):
+        letters = lambda n: "".join(r.choice("ab") for _ in range(n))  # noqa: E731, B023
+        weights = {" " + letters(r.randint(1, 4)) + r.choice(["", " "]): round(r.uniform(1, 5), 3) for _ in range(r.randint(0, 6))}
+        spared = {f" {letters(2)} {letters(2)} " for _ in range(r.randint(0, 3))}
+        text = " " + " ".join(letters(r.randint(1, 5)) for _ in range(r.randint(0, 25))) + " "
+        inside = [(k, k + len(p) - 1) for p in spared for k in range(len(text)) if text.startswith(p, k)]
+        want = []
+        for k in range(len(text)):
+            own = [(w, k + len(p) - 1) for p, w in weights.items() if text.startswith(p, k)]
+            if own and not any(a <= k < b for a, b in inside):
+                want.append((k, max(own)[1], max(own)[0]))
+        assert sorted(toxicity.Lexicon(weights, spared - weights.keys()).matches(text)) == want or not weights
