@@ -148,9 +148,14 @@ def worker_tokenizer(path: str, threads: int):
     return _made[path]
 
 
+def _threads(df: DataFrame) -> int:
+    """Threads that encode or decode a batch: a task's cores, and two at least."""
+    return max(2, int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1")))
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) of each row (doc_id, text)."""
-    threads = int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
+    threads = _threads(docs)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())])
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -162,7 +167,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of each row (doc_id, ids)."""
-    threads = int(encoded.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
+    threads = _threads(encoded)
     schema = T.StructType([T.StructField("doc_id", encoded.schema["doc_id"].dataType), T.StructField("text", T.StringType())])
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -174,7 +179,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id, n_ids, ids_crc32, decoded_chars, decoded_crc32 (of the decoded text's UTF-8), exact (decoded equals the text)."""
-    threads = int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
+    threads = _threads(docs)
     kinds = [("n_ids", T.LongType()), ("ids_crc32", T.LongType()), ("decoded_chars", T.LongType()), ("decoded_crc32", T.LongType()), ("exact", T.BooleanType())]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(a, b) for a, b in kinds]])
 
