@@ -161,12 +161,17 @@ def _tables(dense: np.ndarray, ids: int) -> np.ndarray:
             if cost is None:
                 of = own.integers(0, tables, len(rows))
             else:
-                of = np.stack([c.take(rows).sum(axis=1) for c in cost]).argmax(axis=0)
+                of = np.concatenate([_cheapest(part, cost) for part in np.array_split(rows, -(-rows.size // (1 << 18)))])
             found = np.stack([np.bincount(rows[of == k].reshape(-1), minlength=ids) for k in range(tables)]) + prior
             cost = np.log2(found / found.sum(axis=1, keepdims=True)).astype(np.float32)
     return np.stack([_frequencies(f) for f in found])
 
 
+def _cheapest(rows: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    rows = rows.astype(np.intp)
+    return np.stack([c.take(rows).sum(axis=1) for c in cost]).argmax(axis=0)
+
+
 # -- the coder -----------------------------------------------------------------
 
 
