@@ -49,9 +49,9 @@ SIGNS = {"@": "a", "$": "s", "€": "e", "!": "i", "|": "i", "+": "t"}
 _SIGN_IN_WORD = re.compile(r"(?<=\w)[@$!|€+]+(?=\w)|(?<![\w@$€])[@$€]+(?=[^\W\d_])|(?<=[^\W\d_])[@$€]+(?![\w@$€])")
 #: Four letters or more, each set apart by the same sign or space.
 _SPACED = re.compile(r"(?<!\w)\w([.\-_*·,/ ])\w(?:\1\w){2,}(?!\w)")
-#: A word with a letter three times or more in a row, and such a row.
-_STRETCHED = re.compile(r"\w*([^\W\d_])\1\1\w*")
+#: A letter three times or more in a row.
 _ROW = re.compile(r"([^\W\d_])\1{2,}")
+_WORD = re.compile(r"\w+")
 SHORTEST, LONGEST = 3, 10
 
 
@@ -75,14 +75,20 @@ class _Fold(dict):
 _FOLD = _Fold()
 
 
+def _spellings(word: str) -> str:
+    """The word, or if it is stretched its spellings with two letters of a row and with one."""
+    one = _ROW.sub(r"\1", word)
+    return word if one == word else _ROW.sub(r"\1\1", word) + " " + one
+
+
 def fold(text: str | None) -> str:
     """The text in folded letters, words set apart by spaces, one at either end."""
     text = unicodedata.normalize("NFC", text or "").lower()
     if any(s in text for s in SIGNS):
         text = _SIGN_IN_WORD.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
     text = _SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
-    # a stretched word stands for its spellings with two letters and with one
-    text = _STRETCHED.sub(lambda m: _ROW.sub(r"\1\1", m[0]) + " " + _ROW.sub(r"\1", m[0]), text)
+    if _ROW.search(text):
+        text = _WORD.sub(lambda m: _spellings(m[0]), text)
     return f" {text.translate(_FOLD)} "
 
 
