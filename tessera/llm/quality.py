@@ -27,11 +27,13 @@ and judged alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,20 +138,18 @@ def _chi2(p: float, k: int) -> float:
 
 
 _KEY = ["g_lang", "g_source"]
-_PARAMS = T.StructType([T.StructField(k, T.StringType()) for k in _KEY] + [T.StructField("n", T.LongType()), T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("whiten", T.ArrayType(T.DoubleType())), T.StructField("logdet", T.DoubleType())])
+_PARAMS = T.StructType([T.StructField(k, T.StringType()) for k in _KEY] + [T.StructField("n", T.LongType()), T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("whiten", T.ArrayType(T.DoubleType())), T.StructField("logdet", T.DoubleType()), T.StructField("before", T.DoubleType())])
 _LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
+#: The statistics' offsets from the column centre, in SQL: one call to the JVM for a formula of many terms.
+_OFF = [f"({c} - centre[{k}])" for k, c in enumerate(NAMES)]
+
+
 def _distance() -> Column:
     """The squared Mahalanobis distance by the columns centre and whiten (rows of the inverse Cholesky factor)."""
-    off = [F.col(c) - F.col("centre")[k] for k, c in enumerate(NAMES)]
-    total = F.lit(0.0)
-    for i in range(P):
-        z = F.lit(0.0)
-        for j in range(i + 1):
-            z = z + F.col("whiten")[_LOWER.index((i, j))] * off[j]
-        total = total + z * z
-    return total
+    z = [" + ".join(["0.0D", *[f"whiten[{_LOWER.index((i, j))}] * {_OFF[j]}" for j in range(i + 1)]]) for i in range(P)]
+    return F.expr(" + ".join(["0.0D", *[f"({x}) * ({x})" for x in z]]))
 
 
 def _bin(d2: Column) -> Column:
@@ -216,8 +216,8 @@ def _start(rows: DataFrame) -> DataFrame:
         for pdf in batches:
             floors = np.array(list(FLOORS.values()))
             pdf["whiten"] = [[1 / max(1.4826 * m[i], floors[i]) if i == j else 0.0 for i, j in _LOWER] for m in pdf["mids"]]
-            pdf["logdet"] = np.inf
-            yield pdf[[*_KEY, "n", "centre", "whiten", "logdet"]]
+            pdf["logdet"] = pdf["before"] = np.inf
+            yield pdf[[f.name for f in _PARAMS]]
 
     return spread.drop("n").join(centres, _KEY).select(*_KEY, "n", "centre", "mids").mapInPandas(params, _PARAMS)
 
@@ -225,13 +225,9 @@ def _start(rows: DataFrame) -> DataFrame:
 def _reach(rows: DataFrame) -> DataFrame:
     """Per group the bin that holds the distance of the H-th part of the rows."""
     bins = rows.groupBy(*_KEY, "bin").agg(F.count("*").alias("c"))
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        at = int(np.searchsorted(pdf["c"].cumsum().to_numpy(), math.ceil(H * pdf["c"].sum())))
-        return pd.DataFrame([pdf.iloc[0][_KEY].to_dict() | {"reach": int(pdf["bin"].iloc[min(at, len(pdf) - 1)])}])
-
-    return bins.groupBy(*_KEY).applyInPandas(cut, "g_lang string, g_source string, reach int")
+    group = Window.partitionBy(*_KEY)  # at most BINS rows
+    upto, of_all = F.sum("c").over(group.orderBy("bin")), F.sum("c").over(group)
+    return bins.select(*_KEY, "bin", (upto >= F.ceil(H * of_all)).alias("enough")).filter("enough").groupBy(*_KEY).agg(F.min("bin").alias("reach"))
 
 
 def _estimates(batches):
@@ -249,31 +245,34 @@ def _estimates(batches):
             low = np.linalg.cholesky(scatter)
             inv = np.linalg.inv(low)
             # sums carry offsets from the centre before
-            out.append({k: r[k] for k in _KEY} | {"n": r["n"], "centre": (mean + np.array(r["origin"])).tolist(), "whiten": [inv[i, j] for i, j in _LOWER], "logdet": 2 * float(np.log(np.diag(low)).sum())})
+            out.append({k: r[k] for k in _KEY} | {"n": r["n"], "centre": (mean + np.array(r["origin"])).tolist(), "whiten": [inv[i, j] for i, j in _LOWER], "logdet": 2 * float(np.log(np.diag(low)).sum()), "before": r["before"]})
         yield pd.DataFrame(out, columns=[f.name for f in _PARAMS])
 
 
-def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _step(rows: DataFrame, params: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A concentration step: estimates from the H-th part of each group's rows nearest by the params."""
-    near = rows.join(common.checked_broadcast(params, GROUPS), _KEY).withColumn("bin", _bin(_distance()))
-    reach = common.checked_broadcast(common.written(_reach(near), "reach"), GROUPS)
-    near = near.join(reach, _KEY).filter("bin <= reach")
-    off = [F.col(c) - F.col("centre")[k] for k, c in enumerate(NAMES)]
-    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(off)] + [F.sum(off[i] * off[j]).alias(f"q{i}_{j}") for i, j in _LOWER]
-    agg = near.groupBy(*_KEY).agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("centre").alias("origin"), *sums)
+    near = rows.join(small(params), _KEY).withColumn("bin", _bin(_distance()))
+    # written, so that no broadcast waits for a pass over the rows
+    near = near.join(small(common.written(_reach(near), "reach")), _KEY).filter("bin <= reach")
+    sums = [F.expr(f"sum({x}) AS s{i}") for i, x in enumerate(_OFF)] + [F.expr(f"sum({_OFF[i]} * {_OFF[j]}) AS q{i}_{j}") for i, j in _LOWER]
+    agg = near.groupBy(*_KEY).agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("centre").alias("origin"), F.first("logdet").alias("before"), *sums)
     return agg.mapInPandas(_estimates, _PARAMS)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Per group the minimum-covariance-determinant estimate and scale (of squared distances)."""
+    """Per group the minimum-covariance-determinant estimate and scale (of squared distances).
+
+    Warns if a determinant still fell in the last step; the estimate is a minimum of fewer steps then.
+    """
     params = common.written(_start(rows), "mcd")
+    small = F.broadcast if params.limit(GROUPS + 1).count() <= GROUPS else lambda df: df  # a row for each group, in all steps
     for _ in range(STEPS):
-        after = common.written(_step(rows, params), "mcd")
-        fell = after.select(*_KEY, F.col("logdet").alias("after")).join(params.select(*_KEY, "logdet"), _KEY).filter(F.col("after") < F.col("logdet") - 1e-3)
-        params, done = after, fell.isEmpty()
-        if done:
+        params = common.written(_step(rows, params, small), "mcd")
+        if params.filter(F.col("logdet") < F.col("before") - 1e-3).isEmpty():
             break
-    scale = _reach(rows.join(common.checked_broadcast(params, GROUPS), _KEY).withColumn("bin", _bin(_distance())))
+    else:
+        warnings.warn(f"determinants still fell after {STEPS} concentration steps", stacklevel=2)
+    scale = _reach(rows.join(small(params), _KEY).withColumn("bin", _bin(_distance())))
     return common.written(params.join(scale.select(*_KEY, F.greatest(_edge(F.col("reach")) / _chi2(H, P), F.lit(0.05)).alias("scale")), _KEY), "mcd")
 
 

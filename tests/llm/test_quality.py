@@ -111,3 +111,51 @@ def test_estimate_equals_numpy(spark, mixed):
     # a fixed point: estimates from the nearest rows are the estimates
     assert np.allclose(near.mean(axis=0), centre, atol=0.02)
     assert np.allclose(np.linalg.inv(low) @ np.linalg.inv(low).T, cov, atol=0.02)
+
+
+def numpy_distances(vectors, to, groups):
+    """Distances by the module's definition in plain numpy: vectors by row, the groups each enters, the group that judges each."""
+    floors = np.array(list(quality.FLOORS.values()))
+    rows = {g: np.array([vectors[k] for k in vectors if g in to[k]]) for g in set(groups.values())}
+
+    def middle(x):
+        cells = np.sort(np.floor(x / (floors / 16)), axis=0)
+        return (cells[int(np.ceil(len(x) / 2)) - 1] + 0.5) * floors / 16
+
+    def near(x, centre, inv):
+        d2 = (((x - centre) @ inv.T) ** 2).sum(axis=1)
+        bins = np.clip(np.floor((np.log(d2 + 1e-12) + 12) * (quality.BINS / 32)), 0, quality.BINS - 1)
+        reach = np.sort(bins)[int(np.ceil(quality.H * len(x))) - 1]
+        return bins <= reach, reach
+
+    found, dets = {}, dict.fromkeys(rows, np.inf)
+    for g, x in rows.items():
+        found[g] = middle(x), np.diag(1 / np.maximum(1.4826 * middle(np.abs(x - middle(x))), floors))
+    for _ in range(quality.STEPS):  # all groups go on while a determinant falls
+        before = dict(dets)
+        for g, x in rows.items():
+            inner = x[near(x, *found[g])[0]]
+            cov = np.cov(inner.T, bias=True) + np.diag(floors**2)
+            found[g], dets[g] = (inner.mean(axis=0), np.linalg.inv(np.linalg.cholesky(cov))), np.linalg.slogdet(cov)[1]
+        if all(dets[g] >= before[g] - 1e-3 for g in rows):
+            break
+    scale = {g: max(np.exp((near(x, *found[g])[1] + 1) / (quality.BINS / 32) - 12) / quality._chi2(quality.H, quality.P), 0.05) for g, x in rows.items()}
+    return {k: (((vectors[k] - found[g][0]) @ found[g][1].T) ** 2).sum() / scale[g] for k, g in groups.items()}
+
+
+def test_kept_equals_numpy(spark, mixed):
+    """Every row's distance and verdict, for groups that are large, judged by language, and judged by all."""
+    rows = [(k, text, "en" if k % 7 else "rare", source, *x) for k, text, _, source, *x, _ in mixed]
+    got = {r["doc_id"]: r for r in quality.judged(table(spark, rows), min_rows=150).collect()}
+    stats = {r[0]: quality.statistics(r[1]) for r in rows}
+    passed = {r[0]: r for r in rows if stats[r[0]][0] >= 20 and 100 * stats[r[0]][4] <= 30 * stats[r[0]][0]}
+    sizes = collections.Counter((r[2], r[3]) for r in passed.values())
+    langs = collections.Counter(r[2] for r in passed.values())
+    groups = {k: r[2:4] if sizes[r[2:4]] >= 150 else (r[2],) if langs[r[2]] >= 150 else () for k, r in passed.items()}
+    assert {len(g) for g in groups.values()} == {0, 1, 2}
+    want = numpy_distances({k: np.array(stats[k][5:]) for k in passed}, {k: {r[2:4], r[2:3], ()} for k, r in passed.items()}, groups)
+    limit = quality.CUTOFF * quality._chi2(quality.H, quality.P)
+    assert {k for k, r in got.items() if r["kept"]} == {k for k, d in want.items() if d <= limit}
+    assert all(np.isclose(got[k]["distance"], d, rtol=1e-4) for k, d in want.items())
+    assert all(got[k]["distance"] is None for k in got.keys() - want.keys())
+    assert 20 < sum(not r["kept"] for r in got.values()) < 150
