@@ -15,7 +15,10 @@ components come from alternating star contraction.
 their word shingles differ in about ten bits, too many for bit blocks to be
 selective.  There buckets are by ``BANDS`` keys of ``ROWS`` minimal shingle
 hashes, fingerprints in a bucket are compared at the radius ``WIDE``, and what
-is near is confirmed by the exact Jaccard similarity of the shingle sets.
+is near is confirmed by the exact Jaccard similarity of the shingle sets.  A
+large bucket is first compared along an order of its fingerprints, which links
+most of a group of copies; the rest, all pairs of it that are not yet linked,
+follows in tiles.  Texts move only where they are compared.
 
 Defined results: null or empty texts and texts without words have fingerprint
 zero and link like any other; equal rows are kept, each with the same class;
@@ -48,8 +51,10 @@ SALTS = 16
 BANDS, ROWS = 30, 5
 #: Bits in which fingerprints of texts of a similarity of 0.8 may differ (9.7 are expected, 24 are five deviations more).
 WIDE = 24
-#: Texts of a bucket that are all compared with each other; a bucket that is dealt to more than one task.
-ALL_PAIRS, LARGE = 64, 4096
+#: Texts of a bucket that are all compared with each other at once; a bucket that is dealt to more than one task; texts of a tile of the rest.
+ALL_PAIRS, LARGE, REST = 64, 4096, 512
+#: Most bitmaps, of 4 KB and up to 32,768 rows each, that are sent to all executors.
+BITMAPS = 16_384
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -373,7 +378,7 @@ def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
             raw = shingle_hashes(text, shingle)
             own = np.unique(raw.view(">u8").ravel().astype(np.uint64))
             sets.append(xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63)
-            fps.append(_voted(raw))
+            fps.append(_voted(own.astype(">u8").view(np.uint8).reshape(-1, 8)))  # of the set: repeats would outvote what two texts share
             keys.append(band_keys(own))
         more = [pa.array(sets, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([*[c.cast(f.type) if c.type != f.type else c for c, f in zip(batch.columns, arrow)], *[c.cast(f.type) for c, f in zip(more, list(arrow)[-3:])]], schema=arrow)
@@ -387,11 +392,12 @@ def _rotated(fps: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def _near_in_buckets(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets in one bucket whose fingerprints are near; rows (key, part, set, fp) sorted by key and part.
+    """Pairs of rows in one bucket whose fingerprints are near; rows (key, part, row, fp) sorted by key and part.
 
     In a bucket of up to ``ALL_PAIRS`` all pairs; in a larger one each with its next
     in the order of the fingerprint's bits from a place that the key picks, and with
-    the first of its stretch of that order, so that links stay in proportion.
+    the first of its stretch of that order, so that links stay in proportion
+    (``_rest`` compares what these leave unlinked).
     """
     starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
     sizes = np.diff(np.r_[starts, len(rows)])
@@ -433,22 +439,34 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield common.to_batch({"a": a, "b": b}, schema)
 
 
-def similar(sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of distinct shingle sets (_set, _fp, _keys, text; a row each) of at least the similarity."""
-    spark = sets.sparkSession
-    keyed = common.written(sets.select(F.explode("_keys").alias("key"), "_set", "_fp"), "keys")
+def _those(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose number (_row) is among ids, told by a bit for each number, so that rows stay where they are."""
+    bits = ids.groupBy(F.expr("bitmap_bucket_number(_row)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_row))").alias("_bits"))
+    bits = common.checked_broadcast(common.written(bits, "bits"), BITMAPS)
+    byte = "conv(hex(substring(_bits, cast(bitmap_bit_position(_row) div 8 as int) + 1, 1)), 16, 10)"
+    own = F.expr(f"bit_get(cast({byte} as int), cast(bitmap_bit_position(_row) % 8 as int)) = 1")
+    return rows.join(bits, (F.expr("bitmap_bucket_number(_row)") == F.col("_bucket")) & own, "left_semi")
+
+
+def _texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    return common.written(_those(rows, asked).select("_row", "text"), "texts")
+
+
+def similar(rows: DataFrame, lead: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all rows (_row, _fp, _keys, text) among lead (_row; distinct shingle sets) of at least the similarity."""
+    spark = rows.sparkSession
+    keyed = common.written(_those(rows, lead).select(F.explode("_keys").alias("key"), "_row", "_fp"), "keys")
     sizes = common.written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    keyed = keyed.join(sizes, "key")
+    keyed = common.written(keyed.join(sizes, "key"), "keyed")
     # parts of a large bucket: leading bits of the fingerprint, from a place that the key picks
     bits = F.ceil(F.log2(F.col("n") / LARGE)).cast("int")
     turned = F.expr("shiftleft(_fp, cast(key & 63 as int)) | shiftrightunsigned(_fp, cast((64 - (key & 63)) & 63 as int))")
     part = F.when(F.col("n") > LARGE, F.call_function("shiftrightunsigned", turned, 64 - bits)).otherwise(F.lit(0).cast("long"))
     common.bounded_batches(spark, 50_000)
-    rows = keyed.select("key", part.alias("part"), "_set", "_fp").repartition(common.shuffle_parts(spark), "key", "part").sortWithinPartitions("key", "part")
-    pairs = common.written(rows.mapInArrow(_bucket_pairs, _LINKS).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
-    texts = common.written(sets.select("_set", "text").join(asked, "_set", "left_semi"), "texts")
-    of = lambda name: texts.select(F.col("_set").alias(name), F.col("text").alias(f"text_{name}"))
+    dealt = keyed.select("key", part.alias("part"), "_row", "_fp").repartition(common.shuffle_parts(spark), "key", "part").sortWithinPartitions("key", "part")
+    pairs = common.written(dealt.mapInArrow(_bucket_pairs, _LINKS).distinct(), "pairs")
+    texts = _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct())
+    of = lambda name: texts.select(F.col("_row").alias(name), F.col("text").alias(f"text_{name}"))
 
     def confirmed(batch: pa.RecordBatch) -> dict:
         a, b = (common.values_of(batch, c) for c in ("a", "b"))
@@ -460,7 +478,132 @@ def similar(sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
         kept = [(x, y) for x, y in zip(a, b) if jaccard(known[x], known[y]) >= similarity]
         return {"a": [x for x, _ in kept], "b": [y for _, y in kept]}
 
-    return common.map_batches(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b"), confirmed, _LINKS)
+    found = common.map_batches(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b"), confirmed, _LINKS)
+    large = keyed.filter(F.col("n") > ALL_PAIRS)
+    if large.isEmpty():
+        return found
+    label = common.written(components(found), "linked")
+    return label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_rest(rows, large, label, shingle, similarity))
+
+
+# -- large buckets: what is not linked yet ----------------------------------------
+
+_TILE = ["key", "kind", "ta", "tb"]
+_NEAR = T.StructType([T.StructField(c, T.LongType()) for c in [*_TILE, "side", "_row", "_fp", "label"]])
+
+
+def _rest(rows: DataFrame, large: DataFrame, label: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between rows of large buckets (key, _row, _fp) that no label (node, label) connects yet.
+
+    A bucket whose rows all have one label needs nothing.  In another the rows
+    of its most frequent label meet the others, and the others each other, in
+    tiles of about ``REST`` rows; a pair of tiles is a unit of work.  Texts go
+    only to units where they have a near fingerprint of another label.
+    """
+    spark = rows.sparkSession
+    named = large.select("key", "_row", "_fp").join(label.withColumnRenamed("node", "_row"), "_row", "left")
+    named = common.written(named.select("key", "_row", "_fp", F.coalesce("label", "_row").alias("label")), "large")
+    counts = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "label"))
+    mixed = counts.groupBy("key").agg(most["label"].alias("main"), most["n"].alias("n_main"), F.sum("n").alias("n")).filter("n > n_main")
+    tiles = lambda n: F.ceil(n / REST)
+    mixed = common.written(mixed.select("key", "main", tiles(F.col("n_main")).alias("mains"), tiles(F.col("n") - F.col("n_main")).alias("others")), "mixed")
+    at = named.join(common.checked_broadcast(mixed, 100_000), "key").withColumn("main", F.col("label") == F.col("main"))
+    at = at.withColumn("own", F.pmod(F.xxhash64("_row", F.lit(7)), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    unit = "struct({} as kind, {} as ta, {} as tb, {} as side)".format
+    across = "transform(sequence(0L, {} - 1), t -> {})".format
+    within = unit("if(t = own, 0L, 1L)", "least(t, own)", "greatest(t, own)", "if(own <= t, 0L, 1L)")
+    units = F.expr(f"if(main, {across('others', unit('2L', 'own', 't', '0L'))}, concat({across('mains', unit('2L', 't', 'own', '1L'))}, {across('others', within)}))")
+    dealt = at.select("key", F.explode(units).alias("u"), "_row", "_fp", "label").select("key", "u.*", "_row", "_fp", "label")
+    dealt = dealt.repartition(common.shuffle_parts(spark), *_TILE).sortWithinPartitions(*_TILE)
+    common.bounded_batches(spark, 50_000)
+    near = common.written(dealt.mapInArrow(_near_across, _NEAR), "near")
+    if near.isEmpty():
+        return spark.createDataFrame([], _LINKS)
+    told = near.join(_texts(rows, near.select("_row").distinct()), "_row").select(*_NEAR.names, "text")
+    common.bounded_batches(spark)
+    told = told.repartition(common.shuffle_parts(spark), *_TILE).sortWithinPartitions(*_TILE)
+    return common.written(told.mapInArrow(_linked_across(shingle, similarity), _LINKS), "rest")
+
+
+def _near(unit: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a unit (columns as ``_NEAR``) the later ones, of the other side if there are two, with a near fingerprint and another label."""
+    kind, side, fps, label = unit[0, 1], unit[:, 4], np.ascontiguousarray(unit[:, 6]).view(np.uint64), unit[:, 7]
+    for i in range(len(unit)):
+        near = (np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= WIDE) & (label[i + 1 :] != label[i])
+        if kind:
+            near &= side[i + 1 :] != side[i]
+        if near.any():
+            yield i, np.flatnonzero(near) + i + 1
+
+
+def _near_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = common.arrow_schema(_NEAR)
+
+    def asked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            met = np.zeros(b - a, bool)
+            for i, others in _near(rows[a:b]):
+                met[i] = True
+                met[others] = True
+            if met.any():
+                yield common.to_batch(dict(zip(_NEAR.names, rows[a:b][met].T)), schema)
+
+    held = np.empty((0, 8), np.int64)
+    for batch in batches:
+        rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)])
+        rows = np.concatenate([held, rows]) if len(held) else rows
+        other = (rows[:, :4] != rows[-1, :4]).any(axis=1)
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        held = rows[cut:]
+        if cut:
+            yield from asked(rows[:cut])
+    if len(held):
+        yield from asked(held)
+
+
+def _linked_across(shingle: int, similarity: float):
+    """Compares the units' texts exactly; what a link has connected meanwhile is not compared again."""
+
+    def links(rows: list[tuple], sets: list[np.ndarray]) -> dict:
+        unit, out = np.array(rows, np.int64), []
+        forest = _Forest(len(unit))
+        first: dict[int, int] = {}
+        for k, own in enumerate(unit[:, 7].tolist()):
+            forest.join(k, first.setdefault(own, k))
+        # shingles as numbers from 0, one set after another, so that a row is compared with all later ones at once
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        ends = np.cumsum(sizes)
+        shingles = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        own = np.zeros(len(shingles), bool)
+        for i, others in _near(unit):
+            others = others[forest.find(others) != forest.find(np.array([i]))]
+            if not len(others):
+                continue
+            at = shingles[ends[i] - sizes[i] : ends[i]]
+            own[at] = True
+            met = np.r_[0, np.cumsum(own[shingles[ends[i] :]])]
+            own[at] = False
+            both = met[ends[others] - ends[i]] - met[ends[others] - sizes[others] - ends[i]]
+            close = both / (sizes[others] + sizes[i] - both) >= similarity  # the sets differ, so one is not empty
+            out += [(i, j) for j in others[close].tolist() if forest.join(i, j)]
+        a, b = (unit[np.array([p[k] for p in out], np.int64), 5] for k in (0, 1))
+        return {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, rows, sets = common.arrow_schema(_LINKS), [], []
+        for batch in batches:
+            for row, text in zip(zip(*[common.values_of(batch, c) for c in _NEAR.names]), common.texts_of(batch)):
+                if rows and rows[-1][:4] != row[:4]:
+                    yield common.to_batch(links(rows, sets), schema)
+                    rows, sets = [], []
+                rows.append(row)
+                sets.append(_shingle_set(text, shingle))
+        if rows:
+            yield common.to_batch(links(rows, sets), schema)
+
+    return run
 
 
 def keep_dissimilar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -473,11 +616,8 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     docs, back = common.set_aside(docs, ["doc_id", "text"])
     rows = common.written(_sketched(docs, shingle).withColumn("_row", F.monotonically_increasing_id()), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), "_row")
-    classes = common.written(rows.groupBy("_set").agg(F.min(first).alias("least")), "classes")
-    lead = classes.select(F.col("least._row").alias("_row"))
-    sets = rows.select("_row", "_set", "_fp", "_keys", "text").join(lead, "_row", "left_semi")
-    edges = similar(sets, shingle, similarity)
-    label = components(edges).withColumnRenamed("node", "_set")
-    named = classes.join(label, "_set", "left").select(F.coalesce("label", "_set").alias("label"), "least")
+    classes = common.written(rows.groupBy("_set").agg(F.min(first).alias("least")).select("least", F.col("least._row").alias("_row")), "classes")
+    label = components(similar(rows, classes.select("_row"), shingle, similarity)).withColumnRenamed("node", "_row")
+    named = classes.join(label, "_row", "left").select(F.coalesce("label", "_row").alias("label"), "least")
     kept = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
-    return rows.join(common.written(kept, "kept"), "_row", "left_semi").select(*back)
+    return _those(rows, kept).select(*back)

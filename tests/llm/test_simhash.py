@@ -166,3 +166,27 @@ def test_columns_of_any_name_come_back(spark):
     for keep in (simhash.keep_one, simhash.keep_dissimilar):
         kept = keep(docs)
         assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[3], rows[4]]
+
+
+def test_large_buckets_miss_no_link(spark, monkeypatch):
+    """Pairs of copies among many texts that share most of their shingles: what the order of fingerprints leaves apart is compared, too."""
+    r, rows = random.Random(11), []
+    text = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    base = text(120)
+    for k in range(250):  # a common passage, which makes them alike at 0.78, and an end of its own; every text twice, with a quarter of the end
+        own = base + text(16)
+        other = own[:124] + text(12)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t), *"fbkln") for k, t in rows], docs_schema()).repartition(5)
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {k for k in range(len(rows)) if root[k] == k}
+    assert len(want) == 250
+    monkeypatch.setattr(simhash, "REST", 100, raising=False)
+    assert {x["doc_id"] for x in simhash.keep_dissimilar(docs).collect()} == want
