@@ -136,6 +136,20 @@ SPACED_WORDS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 BARE_WORDS = re.compile(rf"[^{SPACE}]+")
 
 
+#: White space but for spaces and line ends.
+_RARE_SPACE = [chr(k) for k in [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000] if k != 10]
+
+
+def spaced_words(text: str) -> list[str]:
+    """What ``SPACED_WORDS`` finds; by plain splits where white space is spaces and line ends, two in a row at most, one at the end."""
+    rare = _RARE_SPACE[:4] if text.isascii() else _RARE_SPACE
+    if "\0" not in text and not any(c in text for c in rare):
+        flat = text.replace("\n", " ")
+        if "   " not in flat and not flat.endswith("  "):
+            return list(filter(None, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+    return SPACED_WORDS.findall(text)
+
+
 #: Signs (no apostrophe, which may start a token with letters) that end a stretch of letters for the patterns above.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
@@ -184,7 +198,9 @@ class WordCache:
     def _cut(self, text: str) -> list[str]:
         if self.lower and "İ" not in text and "Σ" not in text:  # Python looks at their context
             text = text.lower()
-        if not self.spaced and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if self.spaced:
+            return spaced_words(text)
+        if not any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return text.split()  # the same white space but for these four
         return self.words.findall(text)
 

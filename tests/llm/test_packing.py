@@ -87,3 +87,16 @@ def test_pack(spark):
             assert b"".join(v[0] for (d, s), v in sorted(by.items(), key=lambda x: x[0][1]) if d == doc) == ids
     assert packing.pack(empty(spark), BYTE, 1).count() == 0
     assert packing.pack(docs, BYTE, 1).filter(F.col("length") > 2048).count() == 0
+
+
+def test_plain_splits_cut_as_the_pattern():
+    import random
+
+    from tessera.llm import common
+
+    r = random.Random(1)
+    signs = ["a", "b", " ", " ", "\n", "\t", "\0", "é", "\x1c", "\r", "\xa0", " "]
+    for _ in range(20_000):
+        text = "".join(r.choices(signs[: r.choice([4, 5, 5, 12])], k=r.randint(0, 12)))
+        assert common.spaced_words(text) == common.SPACED_WORDS.findall(text), repr(text)
+    assert {*common._RARE_SPACE, " ", "\n"} == {chr(k) for k in range(0x110000) if common.re.match(f"[{common.SPACE}]", chr(k))}
