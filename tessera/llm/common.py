@@ -13,6 +13,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -154,13 +155,84 @@ def spaced_words(text: str) -> list[str]:
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 
 
+#: Kinds of bytes: letters in lower case (those of Latin-1 by their lead and second byte), signs, digits, and the rest, which has unknown neighbours.
+_LETTER, _SIGN, _DIGIT, _REST = 1, 2, 4, 8
+_KIND = np.full(256, _REST, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[ord("a") : ord("z") + 1] = _LETTER
+_KIND[[ord(c) for c in SIGNS]] = _SIGN
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
+#: By 16 * the kind before + the kind: 1 if a stretch starts, 2 for white space.
+_STARTS = np.zeros(256, np.uint8)
+_STARTS[[_LETTER, _SIGN, _DIGIT, _REST]] = 1
+_STARTS[[16 * a + b for a in (_LETTER, _SIGN, _DIGIT) for b in (_LETTER, _SIGN, _DIGIT) if a != b or a == _DIGIT]] = 1
+_STARTS[::16] = 2
+#: The same where letters of Latin-1 are the only ones beyond ASCII: a lead byte 0xC3 and a second byte.
+_KIND_SECOND = _KIND.copy()
+_KIND_SECOND[[0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = _LETTER
+#: A pre-tokenizer's pattern whose stretches are told by kinds, as JSON has it.
+_PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: White space beyond ASCII, as a pattern.
+_FAR_SPACE = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Lead bytes from here on may start a mark that joins the character before it.
+_MARKS = 0xCC
+
+
+def _mapped(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table.take(data) for bytes; numpy would make places of eight bytes first."""
+    return np.frombuffer(bytearray(data).translate(table.tobytes()), np.uint8)
+
+
+def _stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The stretches of texts without nulls, in lower case, and how many there are up to each text's start and the end.
+
+    For patterns ``'s|...|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+`` a token never
+    crosses their edges: white space, and any change between letters, signs (no
+    apostrophe) and digits of known kind.  A capital before a mark stays: some
+    are one character with it in lower case alone.
+    """
+    if pc.any(pc.match_substring_regex(texts, _FAR_SPACE)).as_py():
+        texts = pc.replace_substring_regex(texts, _FAR_SPACE, " ")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, places, raw = texts.buffers()
+    edges = np.frombuffer(places, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.zeros(int(edges[-1] - edges[0]) + 1, np.uint8)  # a last byte that ends all
+    if len(data) > 1:
+        data[:-1] = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]]
+    edges -= edges[0]
+    free = data[1:] < _MARKS
+    free[edges[(edges > 0) & (edges < len(free))] - 1] = True
+    capital = (data[:-1] - np.uint8(ord("A")) < 26) & free
+    data[:-1] += capital.view(np.uint8) << np.uint8(5)
+    kind = _mapped(data, _KIND)
+    at = np.flatnonzero(data == 0xC3)
+    if len(at):
+        second = data[at + 1]
+        second += ((second < 0x9F) & (second != 0x97) & free[at + 1]).view(np.uint8) << np.uint8(5)
+        data[at + 1] = second
+        at = at[(second >= 0x9F) & (second != 0xB7)]
+        kind[at] = kind[at + 1] = _LETTER
+    kind = kind[:-1]
+    start = np.empty(len(kind), np.uint8)
+    start[1:] = _mapped((kind[:-1] << np.uint8(4)) | kind[1:], _STARTS)
+    first = edges[edges < len(kind)]
+    start[first] = _STARTS[kind[first]]
+    sizes = [np.count_nonzero(kind[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    here = np.flatnonzero(np.frombuffer(bytearray(start).translate(None, b"\2"), bool))
+    kept = bytearray(data[:-1]).translate(None, b"\t\n\v\f\r ")
+    found = pa.StringArray.from_buffers(len(here), pa.py_buffer(np.append(here, len(kept)).astype(np.int32)), pa.py_buffer(kept))
+    return found, np.searchsorted(here, np.cumsum([0, *sizes]))
+
+
 class WordCache:
     """Ids of texts by a ``tokenizers`` model, each distinct word encoded once.
 
     Exact where the model's pre-tokenizer never joins what ``words`` separates;
     the tests compare it with whole-text encoding.  The cache holds two
     generations of at most ``limit`` words; a word that is met again moves to
-    the younger one, so frequent words stay.
+    the younger one, so frequent words stay.  For models whose stretches are
+    known these are held instead, twice ``limit`` of them; then only those of
+    the batch at hand stay.
     """
 
     #: New words are encoded so many at a time, with this word between them.
@@ -185,6 +257,16 @@ class WordCache:
             self.plain.normalizer = normalizers.NFC()
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.between = self._ids(self.SEPARATOR)[0] if len(self._ids(self.SEPARATOR)) == 1 else None
+        # models whose stretches are known and whose tokens tell where one ends
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.stretched = bool(suffix) and self.plain is not self.model and _PATTERN in json.dumps(json.loads(self.model.to_str())["pre_tokenizer"])
+        if self.stretched:
+            self.bare = Tokenizer.from_str(self.plain.to_str())
+            self.bare.normalizer = normalizers.Sequence([])
+            vocab = self.model.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
+            self._forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
@@ -266,8 +348,52 @@ class WordCache:
         known = self.known
         return [known[w] if x is None else x for w, x in zip(words, found)]
 
+    def _forget(self) -> None:
+        """Empties what is known of stretches: their numbers, where each one's ids start in flat, and how many they are."""
+        self.number: dict[str, int] = {}
+        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _numbers(self, found: pa.Array) -> np.ndarray:
+        """The numbers of distinct stretches; new ones are learned."""
+        words = found.to_numpy(zero_copy_only=False).tolist()  # some times faster than to_pylist
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return at
+        if len(self.number) + len(new) > 2 * self.limit:
+            self._forget()
+            new = np.arange(len(words))
+        _, places, raw = found.buffers()
+        places = np.frombuffer(places, np.int32)[found.offset : found.offset + len(words) + 1]
+        letters = np.bitwise_or.reduceat(_mapped(np.frombuffer(raw, np.uint8)[: places[-1]], _KIND_SECOND), places[:-1]) == _LETTER
+        plain, other = new[letters[new]], new[~letters[new]]
+        for part, learn in ((plain, self._letters_ids), (other, self._other_ids)):
+            if len(part):
+                own = [words[k] for k in part.tolist()]
+                sizes, ids = learn(own)
+                at[part] = np.arange(len(self.at), len(self.at) + len(own))
+                self.number.update(zip(own, at[part].tolist()))
+                self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(sizes) - sizes])
+                self.size = np.concatenate([self.size, sizes.astype(np.int32)])
+                self.flat = np.concatenate([self.flat, ids])
+        return at
+
+    def _letters_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the words has, and their ids, for letters in lower case that need no composing."""
+        done = self.bare.encode_batch_fast([" ".join(words[k : k + 512]) for k in range(0, len(words), 512)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in done])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return (np.diff(ends, prepend=0), ids) if len(ends) == len(words) else self._other_ids(words)
+
+    def _other_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self._encode(words)
+        raw = [self.known.pop(w) for w in words]
+        return np.fromiter(map(len, raw), np.int64, len(raw)) >> 2, np.frombuffer(b"".join(raw), np.uint32)
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """An array of uint32 ids for each text."""
+        if self.stretched:
+            return self.encode_column(pa.array(texts, pa.string()))
         out = []
         for start in range(0, len(texts), 64):
             cut = [self._cut(t) for t in texts[start : start + 64]]
@@ -279,25 +405,19 @@ class WordCache:
     def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
         """The same for an Arrow array (null: empty).
 
-        Where the model drops white space, Arrow cuts and numbers the words, so
-        only distinct ones become Python objects.
+        Where the model's stretches are known, numpy cuts them and Arrow numbers
+        them, so only distinct ones become Python objects.
         """
         texts = pc.fill_null(texts, "")
-        if self.spaced or pc.any(pc.match_substring_regex(texts, "[\\x1c-\\x1f]")).as_py():  # Arrow takes these four for white space
+        if not self.stretched:
             return self.encode_batch(texts.to_pylist())
-        cut = pc.utf8_split_whitespace(pc.ascii_lower(texts) if self.lower else texts)
-        coded = cut.flatten().dictionary_encode()
-        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        found = self._look_up([w or " " for w in words])
-        found = [x if w else b"" for w, x in zip(words, found)]
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        sizes = np.fromiter(map(len, found), np.int32, len(found)) >> 2
-        counts = sizes[at]
+        cut, edges = _stretches(texts)
+        coded = cut.dictionary_encode()
+        at = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        counts = self.size[at]
         ends = np.cumsum(counts, dtype=np.int64)
-        first = (np.cumsum(sizes) - sizes)[at] - (ends - counts)
-        ids = flat[np.repeat(first, counts) + np.arange(len(first) and ends[-1])]
-        edges = np.r_[0, ends][cut.offsets.to_numpy()]
-        return np.split(ids, edges[1:-1])
+        ids = self.flat[np.repeat(self.at[at] - (ends - counts), counts) + np.arange(len(ends) and ends[-1])]
+        return np.split(ids, np.r_[0, ends][edges[1:-1]])[: len(texts)]
 
 
 _caches: dict[tuple, WordCache] = {}

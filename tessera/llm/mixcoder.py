@@ -68,7 +68,7 @@ class Damaged(ValueError):
 
 #: By 2 * confidence + right: the new confidence less the old one, and whether another id moves in (with confidence 1).
 _CHANGE = np.array([0, 0, 0, 1, -1, 1, -1, 0], np.int32)
-_REPLACED = np.array([1, 0, 1, 0, 0, 0, 0, 0], bool)
+_REPLACED = np.array([1, 0, 1, 0, 0, 0, 0, 0], np.int32)
 
 
 class _Model:
@@ -90,14 +90,15 @@ class _Model:
         self.level = whole * np.int32(16) + (part * 32).astype(np.int32)  # 16 times a logarithm, exact on any machine
         self.score = np.zeros((lanes, tables), np.int32)
         lane = np.arange(lanes, dtype=np.int64)
-        self.known = np.zeros(2 * lanes * SLOTS, np.int32)
-        self.base = np.stack([lane * SLOTS, (lanes + lane) * SLOTS])
+        # slot by slot, so that the lanes' entries of a frequent context share cache lines; as narrow as the ids allow
+        self.known = np.zeros(2 * lanes * SLOTS, np.uint16 if 4 * ids + 7 < 1 << 16 else np.int32)
+        self.base = np.stack([SLOTS * lanes + lane, lane])
         spread = np.arange(ids, dtype=np.int64)
         self.slot1, self.slot2 = (spread * 0x9E3779B1 >> 15) & (SLOTS - 1), (spread * 0x85EBCA6B >> 13) & (SLOTS - 1)
         self.last = np.zeros((2, lanes), np.int64)  # the two ids before, the older one first
         kind = np.arange(16)
         self.weight = np.stack([np.tile(np.where(kind >> 2 & 3, _FIRST, 0), lanes), np.tile(np.where(kind & 3, _FIRST, 0), lanes)]).astype(np.int64).reshape(-1)
-        self.context = np.stack([lane * 16, (lanes + lane) * 16]).astype(np.int32)
+        self.context = np.stack([lane * 16, (lanes + lane) * 16])  # 64 bits wide: take is several times slower by other places
         self._set_out()
 
     def _set_out(self) -> None:
@@ -117,9 +118,12 @@ class _Model:
         """Goes on by the ids x (steps x lanes), the entries at their places, and which were right (steps x 2 x lanes)."""
         state = (entry & 3) * np.int32(2)
         state += right
-        new = entry + _CHANGE.take(state)
-        np.copyto(new, (x * 4 + 5).astype(np.int32)[:, None], where=_REPLACED.take(state))
-        self.known[at] = new  # of entries at one place the last stays
+        state = state.astype(np.intp)
+        new = (x * 4 + 5).astype(np.int32)[:, None] - entry
+        new *= _REPLACED.take(state)
+        new += entry
+        new += _CHANGE.take(state)
+        self.known[at] = new.astype(self.known.dtype, copy=False)  # of entries at one place the last stays
         told = right.copy()
         told[:, 1] &= ~right[:, 0]  # what order 2 told is not put down to order 1
         kind = kind * 2
@@ -142,13 +146,25 @@ def _frequencies(counts: np.ndarray) -> np.ndarray:
     return freq
 
 
+def _counts(values: np.ndarray, least: int = 0) -> np.ndarray:
+    counts = np.zeros(max(least, int(values.max(initial=0)) + 1), np.int64)
+    for part in _pieces(values):
+        counts += np.bincount(part, minlength=len(counts))
+    return counts
+
+
+def _pieces(values: np.ndarray) -> list[np.ndarray]:
+    """For np.bincount and take, which make eight bytes of each value first."""
+    return [values[k : k + (1 << 18)] for k in range(0, len(values), 1 << 18)]
+
+
 def _tables(dense: np.ndarray, ids: int) -> np.ndarray:
     """Frequency tables (tables x ids) that tell the stretches of a file well, each stretch by one of them.
 
     A clustering by code length: first of long stretches in every part of the
     file, then of short ones; the counts in the end are those of all ids.
     """
-    counts = np.bincount(dense, minlength=ids).astype(float)
+    counts = _counts(dense, ids).astype(float)
     tables = max(1, min(TABLES, len(dense) // TABLE_TOKENS))
     if tables == 1:
         return _frequencies(counts)[None]
@@ -162,7 +178,7 @@ def _tables(dense: np.ndarray, ids: int) -> np.ndarray:
                 of = own.integers(0, tables, len(rows))
             else:
                 of = np.concatenate([_cheapest(part, cost) for part in np.array_split(rows, -(-rows.size // (1 << 18)))])
-            found = np.stack([np.bincount(rows[of == k].reshape(-1), minlength=ids) for k in range(tables)]) + prior
+            found = np.stack([_counts(rows[of == k].reshape(-1), ids) for k in range(tables)]) + prior
             cost = np.log2(found / found.sum(axis=1, keepdims=True)).astype(np.float32)
     return np.stack([_frequencies(f) for f in found])
 
@@ -183,15 +199,16 @@ def _encode_lanes(rows: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.nd
     low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << _STATE) - 1, np.int64)
     out, used = np.zeros((length // 3 + 2, lanes), np.int32), np.zeros(lanes, np.int64)
     flat, lane = out.reshape(-1), np.arange(lanes, dtype=np.int64)
-    columns = np.ascontiguousarray(rows.T)
+    columns = _turned(rows)
     for begin in range(0, length, STEP):
         x = columns[begin : begin + STEP].astype(np.int64)
         context = np.concatenate([model.last, x])
         at = np.empty((len(x), 2, lanes), np.int64)
         at[:, 1] = model.slot1.take(context[1:-1])
         at[:, 0] = (at[:, 1] + model.slot2.take(context[:-2])) & (SLOTS - 1)
+        at *= lanes
         at += model.base
-        entry = model.known.take(at)
+        entry = model.known.take(at).astype(np.int32, copy=False)
         ids = entry >> 2
         kind = model.kinds(entry, ids)
         share, weight0 = model.share.take(kind), model.weight0.take(kind[:, 0])
@@ -241,22 +258,21 @@ def _decode_lanes(digits: np.ndarray, used: np.ndarray, length: int, freq: np.nd
     lanes = len(used)
     model = _Model(lanes, freq)
     bits = W_BITS + model.bits
-    holders = np.concatenate([np.repeat(np.arange(len(f), dtype=np.int64), f) for f in freq])
+    holders = np.concatenate([np.repeat(np.arange(len(f), dtype=np.int32), f) for f in freq])
     wide = int(used.max(initial=0)) + 4
     code_in = np.zeros((lanes, wide), np.int64)
     code_in[np.arange(wide) < used[:, None]] = digits
     flat, next_digit = code_in.reshape(-1), np.arange(lanes, dtype=np.int64) * wide + 3
-    last_digit = np.arange(lanes, dtype=np.int64) * wide + wide - 1
     # the state has two digits and the upper bits of a third; the rest of that one comes with the next shift
     code = (code_in[:, 0] << 32) | (code_in[:, 1] << 4) | (code_in[:, 2] >> 24)
     rest = code_in[:, 2] & 0xFFFFFF
     span = np.full(lanes, (1 << _STATE) - 1, np.int64)
-    columns = np.empty((length, lanes), np.int32)
+    columns = np.empty((length, lanes), _narrow(freq.shape[1]))
     first = np.empty((2, lanes), bool)
     for begin in range(0, length, STEP):
         n = min(STEP, length - begin)
         x_all, right_all = np.empty((n, lanes), np.int64), np.empty((n, 2, lanes), bool)
-        at_all, entry_all, kind_all = np.empty((n, 2, lanes), np.int64), np.empty((n, 2, lanes), np.int32), np.empty((n, 2, lanes), np.int32)
+        at_all, entry_all, kind_all = np.empty((n, 2, lanes), np.int64), np.empty((n, 2, lanes), np.int32), np.empty((n, 2, lanes), np.int64)
         table, (older, last) = model.table, model.last
         for t in range(n):
             at = at_all[t]
@@ -265,8 +281,9 @@ def _decode_lanes(digits: np.ndarray, used: np.ndarray, length: int, freq: np.nd
             now += model.slot2.take(older)
             now &= SLOTS - 1
             at[0] = now
+            at *= lanes
             at += model.base
-            entry = model.known.take(at)
+            entry = model.known.take(at).astype(np.int32, copy=False)
             ids = entry >> 2
             kind = model.kinds(entry, ids)
             share, weight0 = model.share.take(kind), model.weight0.take(kind[0])
@@ -285,7 +302,7 @@ def _decode_lanes(digits: np.ndarray, used: np.ndarray, length: int, freq: np.nd
             v -= off[1]
             v //= weight0
             v += model.slots
-            x = holders.take(v, mode="clip")
+            x = holders.take(v, mode="clip").astype(np.int64)
             x_all[t], entry_all[t], kind_all[t] = x, entry, kind
             older, last = last, x
             x = x + 1
@@ -307,14 +324,27 @@ def _decode_lanes(digits: np.ndarray, used: np.ndarray, length: int, freq: np.nd
             short = (span < 1 << 32).nonzero()[0]
             if len(short):
                 here = next_digit[short]
-                new = flat[np.minimum(here, last_digit[short])]
+                new = flat.take(here, mode="clip")  # a damaged block may run on into the next
                 code[short] = (code[short] << DIGIT) | (rest[short] << 4) | (new >> 24)
                 rest[short] = new & 0xFFFFFF
                 next_digit[short] = here + 1
                 span[short] <<= DIGIT
         columns[begin : begin + n] = x_all
         model.learn(x_all, at_all, entry_all, kind_all, right_all)
-    return columns.T
+    return _turned(columns)
+
+
+def _narrow(ids: int) -> type:
+    """For a file's dense ids: a task holds some copies of them at once."""
+    return np.uint16 if ids <= 1 << 16 else np.int32
+
+
+def _turned(rows: np.ndarray) -> np.ndarray:
+    """The transposed array, made in strips that fit the cache."""
+    out = np.empty(rows.shape[::-1], rows.dtype)
+    for k in range(0, len(rows), 64):
+        out[:, k : k + 64] = rows[k : k + 64].T
+    return out
 
 
 def _pack(digits: np.ndarray) -> bytes:
@@ -342,11 +372,11 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
     absent = np.packbits([x is None for x in doc_ids]) if doc_ids else np.zeros(0, np.uint8)
     index = zlib.compress(np.diff(index, prepend=np.int64(0)).tobytes() + np.asarray(lengths, np.int64).tobytes() + absent.tobytes(), 6)
     if len(ids) and int(ids.max()) < 1 << 22:
-        counts = np.bincount(ids)
+        counts = _counts(ids)
         present = np.flatnonzero(counts)
-        place = np.zeros(len(counts), np.int32)
+        place = np.zeros(len(counts), _narrow(len(present)))
         place[present] = np.arange(len(present))
-        dense = place[ids]
+        dense = np.concatenate([place.take(part) for part in _pieces(ids)])
     else:
         present, dense = np.unique(ids, return_inverse=True)
     freq = _tables(dense, len(present)) if len(ids) else np.zeros((0, 0), np.int64)
@@ -386,11 +416,10 @@ def decode_file(data: bytes, blocks: list[int] | None = None) -> tuple[list[int
     if blocks is not None:
         ends, take = np.cumsum(used), np.array(blocks)
         digits = np.concatenate([digits[ends[k] - used[k] : ends[k]] for k in blocks])
-    rows = present[_decode_lanes(digits, used[take], block, freq)]
     parts = []
-    for row, k in zip(rows, take.tolist()):
-        part = row[: min(block, n_ids - k * block)]
-        if zlib.crc32(np.ascontiguousarray(part)) != sums[k]:
+    for row, k in zip(_decode_lanes(digits, used[take], block, freq), take.tolist()):
+        part = present.take(row[: min(block, n_ids - k * block)])
+        if zlib.crc32(part) != sums[k]:
             raise Damaged(f"block {k} is damaged")
         parts.append(part)
     return doc_ids, lengths, np.concatenate(parts)
@@ -431,10 +460,11 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, words=common.BARE_
 
         def close() -> pa.RecordBatch:
             nonlocal held_ids, held, size, file, before
-            lengths = np.array([len(x) for x in held], np.int64)
-            data = encode_file(held_ids, lengths, np.concatenate(held))
-            row = {"part": [part], "file": [file], "part_start": [before], "n_docs": [len(held_ids)], "n_tokens": [size], "data": [data]}
-            held_ids, held, before, size, file = [], [], before + size, 0, file + 1
+            lengths, ids = np.array([len(x) for x in held], np.int64), np.concatenate(held)
+            held = []
+            row = {"part": [part], "file": [file], "part_start": [before], "n_docs": [len(held_ids)], "n_tokens": [size], "data": [encode_file(held_ids, lengths, ids)]}
+            held_ids, before, size, file = [], before + size, 0, file + 1
+            pa.default_memory_pool().release_unused()  # a worker that waits would keep it
             return common.to_batch(row, schema)
 
         for batch in batches:

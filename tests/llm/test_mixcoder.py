@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -46,6 +47,26 @@ def test_blocks_decode_alone_and_damage_is_found():
             mixcoder.decode_file(bytes(bad))
 
 
+@pytest.mark.parametrize("distinct", [16_382, 16_383, 65_536, 65_537])
+def test_tables_as_wide_as_the_ids_ask_for(distinct):
+    ids = np.concatenate([np.tile(np.arange(distinct - 3, distinct), 3000), np.arange(distinct), np.tile([distinct - 1, 0], 3000)]).astype(np.uint32)
+    assert np.array_equal(mixcoder.decode_file(mixcoder.encode_file([1], np.array([len(ids)]), ids))[2], ids)
+
+
+def test_a_file_takes_few_copies_of_its_ids():
+    """Lookups make eight bytes of each id unless they go in pieces."""
+    ids = np.random.default_rng(2).integers(0, 3000, 3_000_000).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        data = mixcoder.encode_file([1], np.array([len(ids)]), ids)
+        encoded, _ = tracemalloc.get_traced_memory()[1], tracemalloc.reset_peak()
+        assert np.array_equal(mixcoder.decode_file(data)[2], ids)
+        decoded = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert encoded < 3.5 * ids.nbytes and decoded < 4.5 * ids.nbytes
+
+
 def test_it_compresses():
     rng = np.random.default_rng(1)
     phrases = [rng.integers(0, 30_000, 12) for _ in range(40)]
@@ -104,6 +125,33 @@ def test_words_are_encoded_as_whole_texts_are_fuzzed(texts):
         assert [x.tolist() for x in got] == whole(path, texts)
 
 
+def test_stretches_are_encoded_once():
+    """Signs, digits, capitals and white space do not make new entries of a word that is known."""
+    cache = common.WordCache(WORDS, common.BARE_WORDS)
+    texts = ["Alpha alpha. ALPHA, (alpha) alpha-alpha/alpha", "alpha12 21\x85été\u3000Été; <été>", None]
+    assert [x.tolist() for x in cache.encode_column(pa.array(texts))] == whole(WORDS, [t or "" for t in texts])
+    assert set(cache.number) == {"alpha", ".", ",", "(", ")", "-", "/", "1", "2", "été", ";", "<", ">"}
+
+
+def test_a_capital_and_its_mark_that_are_one_character_in_lower_case_alone():
+    texts = ["J\u030c T\u0308, W\u030aW H\u0331. Y\u030a", "J", "\u030c", "É\u0323 E\u0301", "É", "\u0331É"]
+    cache = common.WordCache(WORDS, common.BARE_WORDS)
+    assert [x.tolist() for x in cache.encode_column(pa.array(texts))] == whole(WORDS, texts)
+    assert [x.tolist() for x in cache.encode_batch(texts)] == whole(WORDS, texts)
+
+
+#: Characters whose neighbours matter: capitals, marks, signs, apostrophes, white space of every kind, letters of one to four bytes.
+ODD = list("aAeEhHjJtTwWsS'.,!=<>|-5 0éÉßÿÞ×÷ªµºñÜ\x00\x1c\x1f\x7f\x85\xa0\u2003\u3000\u200b\u0300\u0301\u0304\u0307\u0308\u030a\u030c\u0323\u0331\u0338\u0345\u20e3İıΣς日\u1100\u1161²½Ⅷ٣\U0001d400😀ﬁ_\t\n\r")
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(ODD))), min_size=1, max_size=12), st.integers(0, 3), st.booleans())
+def test_columns_are_encoded_as_whole_texts_are_fuzzed(texts, skipped, large):
+    cache = common.word_cache(WORDS, common.BARE_WORDS, 40)  # so few that words are forgotten
+    column = pa.array(texts, pa.large_string() if large else pa.string()).slice(skipped)
+    assert [x.tolist() for x in cache.encode_column(column)] == whole(WORDS, [t or "" for t in texts[skipped:]])
+
+
 def test_a_kept_path(spark, tmp_path):
     mixcoder.write_files(table(spark), WORDS, 2, path=f"file://{tmp_path}/tokens")
     kept = spark.read.parquet(f"file://{tmp_path}/tokens")
