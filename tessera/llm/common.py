@@ -224,6 +224,83 @@ def _stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return found, np.searchsorted(here, np.cumsum([0, *sizes]))
 
 
+#: Kinds of bytes for byte-level patterns: 0 a space, 1 letters, 2 signs, 3 digits, 4 the apostrophe, 5 the rest, which has unknown neighbours, 6 other white space.
+_LED = np.full(256, 5, np.uint8)
+_LED[32] = 0
+_LED[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+_LED[[ord(c) for c in SIGNS + "_"]] = 2
+_LED[ord("0") : ord("9") + 1] = 3
+_LED[ord("'")] = 4
+_LED[[9, 10, 11, 12, 13]] = 6
+#: By 8 * the kind before + the kind: 1 if a stretch starts, 2 for white space after white space.
+_LED_STARTS = np.zeros(256, np.uint8)
+_LED_STARTS[[8 * a + b for a in range(6) for b in (0, 6) if a] + [8 * 6 + b for b in range(1, 6)]] = 1
+_LED_STARTS[[8 * a + b for a in (0, 6) for b in (0, 6)]] = 2
+_LED_STARTS[[8 * a + b for a in (1, 2, 3) for b in (1, 2, 3) if a != b] + [8 * 1 + 4, 8 * 3 + 4, 8 * 4 + 3]] = 1
+#: Lead bytes whose characters of two bytes are letters (Latin, Cyrillic), but for the signs 0xC3 0x97 and 0xC3 0xB7.
+_LED_LEADS = np.zeros(256, np.uint8)
+_LED_LEADS[[*range(0xC3, 0xCB), 0xD0, 0xD1, 0xD3]] = 1
+#: By kind, what a stretch of it alone, after a space or not, adds up to.
+_LED_BITS = np.array([0, 1, 2, 4, 8, 8, 8] + [8] * 249, np.uint8)
+
+
+def _led_kinds(data: np.ndarray) -> np.ndarray:
+    """The kinds of the bytes of whole characters."""
+    kind = _mapped(data, _LED)
+    at = np.flatnonzero(_mapped(data, _LED_LEADS).view(bool))
+    if len(at):
+        second = data[at + 1]
+        at = at[(data[at] != 0xC3) | ((second != 0x97) & (second != 0xB7))]
+        kind[at] = kind[at + 1] = 1
+    return kind
+
+
+def _led_stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The stretches of texts without nulls, as bytes, and how many there are up to each text's start and the end.
+
+    For byte-level models with the pattern ``'s|...| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``
+    a token never crosses their edges: changes between letters, signs and digits
+    of known kind, and white space, whose last space goes with what follows.  An
+    apostrophe stays with the letters after it, which may be one token with it.
+    """
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, places, raw = texts.buffers()
+    edges = np.frombuffer(places, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]] if edges[-1] > edges[0] else np.zeros(0, np.uint8)
+    edges -= edges[0]
+    if not len(data):
+        return pa.array([], pa.binary()), np.zeros(len(edges), np.int64)
+    kind = np.append(_led_kinds(data), np.uint8(6))  # a last kind that ends all
+    start = np.empty(len(data), np.uint8)
+    start[1:] = _mapped((kind[:-2] << np.uint8(3)) | kind[1:-1], _LED_STARTS)
+    first = edges[edges < len(data)]
+    start[first] = 1
+    at = np.flatnonzero(start == 2)
+    if len(at):  # the last of a run, unless the text ends there
+        last = (kind[at + 1] != 0) & (kind[at + 1] != 6)
+        ends = np.searchsorted(first, at + 1)
+        last &= (ends == len(first)) | (first.take(ends, mode="clip") != at + 1)
+        start[at] = last
+    if (data >= 0xC2).any():  # white space beyond ASCII: these texts are cut by the pattern
+        far = pc.match_substring_regex(texts, _FAR_SPACE)
+        for k in np.flatnonzero(far.to_numpy(zero_copy_only=False)).tolist():
+            a, b = edges[k : k + 2].tolist()
+            sizes = [len(w.encode()) for w in SPACED_WORDS.findall(texts[k].as_py())]
+            start[a:b] = 0
+            start[a + np.cumsum([0, *sizes[:-1]])] = 1
+    here = np.flatnonzero(start.view(bool))
+    found = pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer(np.append(here, len(data)).astype(np.int32)), pa.py_buffer(data)])
+    return found, np.searchsorted(here, edges)
+
+
+def _pieces(texts: pa.Array, most: int = 4 << 20) -> list[pa.Array]:
+    """Consecutive texts of about so many bytes; numpy takes some twenty times their memory."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = np.searchsorted(sizes, np.arange(most, sizes[-1] if len(sizes) else 0, most)) + 1
+    edges = [0, *np.unique(edges).tolist(), len(texts)]
+    return [texts.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a]
+
+
 class WordCache:
     """Ids of texts by a ``tokenizers`` model, each distinct word encoded once.
 
@@ -266,8 +343,27 @@ class WordCache:
             vocab = self.model.get_vocab(with_added_tokens=False)
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
+        # byte-level models with the usual pattern, whose tokens tell where a space starts one
+        self.led = self.spaced and self._is_byte_level()
+        if self.led:
+            self.bare = Tokenizer.from_str(self.model.to_str())
+            self.bare.encode_special_tokens = True
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)])
+            vocab = self.model.get_vocab()
+            self.leads = np.zeros(max(vocab.values()) + 1, bool)
+            self.leads[[k for token, k in vocab.items() if token.startswith("\u0120")]] = True  # the sign for a space
+            self.line = self._ids("\n")[0]
+        if self.stretched or self.led:
             self._forget()
 
+    def _is_byte_level(self) -> bool:
+        told = json.loads(self.model.to_str())
+        cut, own = told["pre_tokenizer"] or {}, told["model"]
+        plain = told["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        whole = own.get("type") == "BPE" and not own.get("dropout") and not own.get("continuing_subword_prefix") and not own.get("end_of_word_suffix")
+        # added tokens that are not special would be cut out of the text first
+        return bool(plain and whole and all(t["special"] for t in told["added_tokens"]) and len(self._ids("\n")) == 1)
+
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
@@ -363,21 +459,58 @@ class WordCache:
         if len(self.number) + len(new) > 2 * self.limit:
             self._forget()
             new = np.arange(len(words))
-        _, places, raw = found.buffers()
-        places = np.frombuffer(places, np.int32)[found.offset : found.offset + len(words) + 1]
-        letters = np.bitwise_or.reduceat(_mapped(np.frombuffer(raw, np.uint8)[: places[-1]], _KIND_SECOND), places[:-1]) == _LETTER
-        plain, other = new[letters[new]], new[~letters[new]]
-        for part, learn in ((plain, self._letters_ids), (other, self._other_ids)):
+        for part, learn in self._learners(found, new):
             if len(part):
                 own = [words[k] for k in part.tolist()]
                 sizes, ids = learn(own)
                 at[part] = np.arange(len(self.at), len(self.at) + len(own))
                 self.number.update(zip(own, at[part].tolist()))
-                self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(sizes) - sizes])
-                self.size = np.concatenate([self.size, sizes.astype(np.int32)])
-                self.flat = np.concatenate([self.flat, ids])
+                _extend(self.at, len(self.flat) + np.cumsum(sizes) - sizes)
+                _extend(self.size, sizes)
+                _extend(self.flat, ids)
         return at
 
+    def _learners(self, found: pa.Array, new: np.ndarray) -> list[tuple[np.ndarray, Callable]]:
+        """The new ones of the found stretches by how their ids are learned."""
+        _, places, raw = found.buffers()
+        places = np.frombuffer(places, np.int32)[found.offset : found.offset + len(found) + 1]
+        raw = np.frombuffer(raw, np.uint8)[: places[-1]]
+        kinds = _mapped(_led_kinds(raw), _LED_BITS) if self.led else _mapped(raw, _KIND_SECOND)
+        kinds = np.bitwise_or.reduceat(kinds, places[:-1])[new]
+        if self.led:
+            one = (raw[places[new]] == 32) & ((kinds == 1) | (kinds == 2) | (kinds == 4))
+            return [(new[one], self._led_ids), (new[~one], self._lined_ids)]
+        letters = kinds == _LETTER
+        return [(new[letters], self._letters_ids), (new[~letters], self._other_ids)]
+
+    def _led_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the words has, and their ids, for a space and letters, signs or digits alone."""
+        done = self.bare.encode_batch_fast([b"".join(words[k : k + 512]).decode() for k in range(0, len(words), 512)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in done])
+        starts = np.flatnonzero(self.leads[ids])
+        return (np.diff(starts, append=len(ids)), ids) if len(starts) == len(words) else self._lined_ids(words)
+
+    def _lined_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words: in lines, white space by itself."""
+        texts = [w.decode() for w in words]
+        blank = np.fromiter(map(str.isspace, texts), bool, len(texts))
+        sizes, ids = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)] * len(texts)
+        lined = np.flatnonzero(~blank).tolist()
+        groups = [lined[k : k + self.JOINED] for k in range(0, len(lined), self.JOINED)]
+        alone = np.flatnonzero(blank).tolist()
+        for group, e in zip(groups, self.model.encode_batch_fast(["\n".join([texts[k] for k in g]) for g in groups], add_special_tokens=False)):
+            own = np.array(e.ids, np.uint32)
+            parts = np.split(own, np.flatnonzero(own == self.line))
+            if len(parts) != len(group):
+                alone += group
+                continue
+            for k, part in zip(group, [parts[0], *[p[1:] for p in parts[1:]]]):
+                ids[k] = part
+        for k, e in zip(alone, self.model.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)):
+            ids[k] = np.array(e.ids, np.uint32)
+        sizes[:] = [len(x) for x in ids]
+        return sizes, np.concatenate(ids)
+
     def _letters_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each of the words has, and their ids, for letters in lower case that need no composing."""
         done = self.bare.encode_batch_fast([" ".join(words[k : k + 512]) for k in range(0, len(words), 512)], add_special_tokens=False)
@@ -392,7 +525,7 @@ class WordCache:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """An array of uint32 ids for each text."""
-        if self.stretched:
+        if self.stretched or self.led:
             return self.encode_column(pa.array(texts, pa.string()))
         out = []
         for start in range(0, len(texts), 64):
@@ -409,9 +542,12 @@ class WordCache:
         them, so only distinct ones become Python objects.
         """
         texts = pc.fill_null(texts, "")
-        if not self.stretched:
+        if not (self.stretched or self.led):
             return self.encode_batch(texts.to_pylist())
-        cut, edges = _stretches(texts)
+        return [ids for part in (_pieces(texts) if self.led else [texts]) for ids in self._encode_cut(part)]
+
+    def _encode_cut(self, texts: pa.Array) -> list[np.ndarray]:
+        cut, edges = _led_stretches(texts) if self.led else _stretches(texts)
         coded = cut.dictionary_encode()
         at = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
         counts = self.size[at]
@@ -420,6 +556,13 @@ class WordCache:
         return np.split(ids, np.r_[0, ends][edges[1:-1]])[: len(texts)]
 
 
+def _extend(array: np.ndarray, more: np.ndarray) -> None:
+    """Lengthens an array that nothing else looks into, in place."""
+    n = len(array)
+    array.resize(n + len(more), refcheck=False)
+    array[n:] = more
+
+
 _caches: dict[tuple, WordCache] = {}
 
 

@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, words=common.SPACED_WORDS
 
         for batch in batches:
             docs_of = common.values_of(batch, "doc_id")
-            for doc, ids in zip(docs_of, cache.encode_batch(common.texts_of(batch))):
+            for doc, ids in zip(docs_of, cache.encode_column(batch.column(batch.schema.get_field_index("text")))):
                 for done in packer.add(doc, np.concatenate([ids, end])):
                     place(done)
                 if len(rows) >= 4096:

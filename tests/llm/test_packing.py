@@ -100,3 +100,33 @@ def test_plain_splits_cut_as_the_pattern():
         text = "".join(r.choices(signs[: r.choice([4, 5, 5, 12])], k=r.randint(0, 12)))
         assert common.spaced_words(text) == common.SPACED_WORDS.findall(text), repr(text)
     assert {*common._RARE_SPACE, " ", "\n"} == {chr(k) for k in range(0x110000) if common.re.match(f"[{common.SPACE}]", chr(k))}
+
+
+def test_stretches_are_encoded_once():
+    """Signs, digits and line ends beside a word do not make new entries of it, whatever the alphabet."""
+    cache = common.WordCache(BYTE, common.SPACED_WORDS)
+    texts = [" word, word. (word) word12; word\nword\n\n word", " été. été! слово, слово? łąka: łąka", None, ""]
+    assert [x.tolist() for x in cache.encode_column(pa.array(texts))] == whole(BYTE, [t or "" for t in texts])
+    signs = [",", ".", " (", "word", ")", "12", ";", "\n", "\n\n", "!", "?", ":"]
+    assert {w.decode() for w in cache.number} == {" word", " été", " слово", " łąka", *signs}
+
+
+#: Characters whose neighbours matter: letters, digits, signs, apostrophes and what may follow them, white space of every kind.
+ODD = list("abstSTvemdlr'0129.,!_<|>-    \n\n\t\r\v\x00\x1c\x1f\x7f\x85\xa0\u2003\u2028\u3000\u200béÉß×÷ªµº·ŁǄʼ˗\u0301\u0378ΩЖз҂\u0483Ӂא日²½Ⅷ٣\U0001d400😀")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(ODD))), min_size=1, max_size=12), st.integers(0, 3), st.booleans(), st.sampled_from([5, 1 << 22]))
+def test_columns_are_encoded_as_whole_texts_are_fuzzed(texts, skipped, large, most):
+    cache = common.word_cache(BYTE, common.SPACED_WORDS, 40)  # so few that words are forgotten
+    column = pa.array(texts, pa.large_string() if large else pa.string()).slice(skipped)
+    want = whole(BYTE, [t or "" for t in texts[skipped:]])
+    assert [x.tolist() for x in cache.encode_column(column)] == want
+    parts = common._pieces(column.fill_null(""), most)
+    assert [x.tolist() for part in parts for x in cache.encode_column(part)] == want
+
+
+def test_letters_of_two_bytes():
+    """Every character of two bytes beside letters, signs, digits and spaces."""
+    texts = [f"{chr(k)}. a{chr(k)}b {chr(k)}1 '{chr(k)}{chr(k)}' {chr(k)}\n{chr(k)}" for k in range(0x80, 0x800)]
+    assert [x.tolist() for x in common.WordCache(BYTE, common.SPACED_WORDS).encode_column(pa.array(texts))] == whole(BYTE, texts)
