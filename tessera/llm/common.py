@@ -43,6 +43,11 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, which must have few rows, collected once: it takes no files, and its broadcast no job."""
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Limits the rows and bytes that a Python worker gets at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,7 +7,8 @@ and its exception phrases are learned from labelled texts; the match weights,
 normalised by the text's length, go through a fitted logistic curve.
 
 Training uses at most ``max_labelled`` labelled rows (those with the least hash
-of doc_id), a documented bound on what the driver holds.  Everything else
+of doc_id), a documented bound on what the one task that learns holds; the
+driver gets the lexicon alone.  Everything else
 covers whole texts and all rows.
 
 Defined results: null and empty texts get the score of a text without matches;
@@ -21,10 +22,12 @@ columns are never inputs of a score.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -258,9 +261,18 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000) -> Lexi
     """A lexicon from at most max_labelled labelled rows that are not held out."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("text", "toxic").toPandas()
-    rows = rows.sort_values(["text", "toxic"], kind="stable") if len(rows) else rows
-    return learn(["" if t is None else t for t in rows["text"]], [int(y > 0) for y in rows["toxic"]])
+    rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("text", "toxic")
+    common.bounded_batches(docs.sparkSession)
+    found = rows.repartition(1).mapInArrow(_learned, "lexicon binary").first()
+    return pickle.loads(found["lexicon"]) if found else Lexicon()
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lexicon, pickled, from rows (text, toxic) in any order."""
+    rows = [row for batch in batches for row in zip(common.values_of(batch, "text"), common.values_of(batch, "toxic"))]
+    rows.sort(key=lambda row: (row[0] is None, row[0] or "", row[1]))
+    lexicon = learn([t or "" for t, _ in rows], [int(y > 0) for _, y in rows])
+    yield pa.RecordBatch.from_pydict({"lexicon": pa.array([pickle.dumps(lexicon)], pa.binary())})
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:

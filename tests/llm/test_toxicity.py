@@ -87,3 +87,14 @@ def test_matches_are_those_of_a_naive_scan():
             if own and not any(a <= k < b for a, b in inside):
                 want.append((k, max(own)[1], max(own)[0]))
         assert sorted(toxicity.Lexicon(weights, spared - weights.keys()).matches(text)) == want or not weights
+
+
+def test_the_driver_learns_nothing_itself(spark, monkeypatch):
+    rows = corpus(300)
+    usable = sorted((t, y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 4 != 2)
+    want = toxicity.learn([t for t, _ in usable], [y for _, y in usable])
+    docs, labels = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "learn", None)  # in the driver alone: tasks have their own
+    found = toxicity.train(docs, labels)
+    assert found.weights == want.weights and found.exceptions == want.exceptions and found.curve == pytest.approx(want.curve)
+    assert toxicity.train(docs, labels.limit(0)) == toxicity.Lexicon()
