@@ -32,7 +32,7 @@ from tessera.operators import clusters as C
 from tessera.operators import search as S
 from tessera.plans.routing import Centroids, covering, covering_route, graph_route
 from tessera.sources import oplog
-from tessera.sources.files import Store
+from tessera.sources.files import Store, shared_dir
 
 #: Operations between snapshots; tombstones, and their share, that call for compaction.
 SNAPSHOT_OPS, DEAD_ROWS, DEAD_SHARE = 64, 64, 0.20
@@ -440,9 +440,19 @@ class Collection:
         routed = queries.select("qid", V.normalize(F.col("vector").cast("array<float>")).alias("qv"))
         many, share = (PROBES, COVERAGE) if probe_clusters is None else (probe_clusters, 0.0)
         wide = k if wanted.is_empty or not share else k * sum(self._live().values()) / max(1, wanted.apply(docs).count())
-        route = covering_route(routed, self._routing(), max(wide, 1), many, share)
-        route = route.unionByName(routed.select("qid", F.lit(PENDING).alias("cluster_id")))
-        return S.probed_topk(wanted.apply(docs), routed, route, k)
+        rows = wanted.apply(docs)
+        dealt = S.deal(rows)
+        return S.asked_topk(rows, covering_route(routed, self._routing(), dealt, max(wide, 1), many, share), dealt, k)
+
+    def search_each(self, queries: DataFrame, k: int, entry_points: int = 4, ef_search: int = 24, probe_clusters: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """What search finds without a filter, for many queries (qid, vector) in one plan: (qid, id, score, rank), and (qid, visited_clusters, candidate_count)."""
+        docs, dealt = self.documents(), S.Deal.of(self._live())
+        routed = queries.select("qid", V.normalize(F.col("vector").cast("array<float>")).alias("qv"))
+        many, share = (PROBES, COVERAGE) if probe_clusters is None else (probe_clusters, 0.0)
+        shared_dir(self.spark)
+        asked = covering_route(routed, self._routing(), dealt, max(k, 1), many, share, (entry_points, ef_search)).checkpoint()
+        told = asked.groupBy("qid").agg(F.sum("clusters").alias("visited_clusters"), F.sum("held").alias("candidate_count"))
+        return S.asked_topk(docs, asked, dealt, k), told
 
     # -- administration -----------------------------------------------------------
 

@@ -24,8 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Centroids of one block of a batch of queries, and queries scored against it at once.
-BLOCK, QUERIES = 4096, 256
+from tessera.operators.search import ASKED, Deal
+
+#: Centroids of one block of a batch of queries, queries scored against it at once, and scores held at once where all centroids count.
+BLOCK, QUERIES, CELLS = 4096, 256, 1 << 20
 #: By sixteenths of a deviation from -8 to 8: the share of a normal variable beyond.
 _STEPS = np.linspace(-8, 8, 257)
 _BEYOND = np.array([math.erfc(x / math.sqrt(2)) / 2 for x in _STEPS])
@@ -55,8 +57,14 @@ def graph_route(centroids: Centroids, query: np.ndarray, entry_points: int = 4,
     """
     if not len(centroids.ids):
         return []
-    scores = centroids.matrix.astype(np.float64) @ np.asarray(query, np.float64)
-    best = np.lexsort((centroids.ids, -scores))[: max(entry_points, 1)]
+    return _walk(centroids, centroids.matrix.astype(np.float64) @ np.asarray(query, np.float64), entry_points, ef_search, probe_clusters, live)
+
+
+def _walk(centroids: Centroids, scores: np.ndarray, entry_points: int, ef_search: int, probe_clusters: int, live: set[int] | dict | None) -> list[int]:
+    """graph_route by the query's scores."""
+    entries = min(max(entry_points, 1), len(scores))
+    best = np.nonzero(scores >= np.partition(scores, len(scores) - entries)[len(scores) - entries])[0]
+    best = best[np.lexsort((centroids.ids[best], -scores[best]))[:entries]]
     frontier = [(-scores[k], int(centroids.ids[k])) for k in best]
     heapq.heapify(frontier)
     seen: set[int] = set()
@@ -93,25 +101,44 @@ def covering(scores: np.ndarray, members: np.ndarray, closeness: np.ndarray, dim
     return out
 
 
-def covering_route(queries: DataFrame, centroids: Centroids, k: int, probe_clusters: int, coverage: float) -> DataFrame:
-    """(qid, cluster_id) to probe for each query (qid, qv): the best centroids, and what the share of hits needs.
+def covering_route(queries: DataFrame, centroids: Centroids, dealt: Deal, k: int, probe_clusters: int, coverage: float, walk: tuple[int, int] | None = None) -> DataFrame:
+    """What each query (qid, qv) asks of the groups that clusters are dealt to (ASKED): the best centroids, and what the share of hits needs.
 
-    The centroids, which the driver holds, go along with the code.
+    With walk (entry_points, ef_search) the best are those of graph_route, and
+    of the others only clusters with live members count, as in a single search.
+    Rows of no cluster (ids below zero) are always asked.  The centroids, which
+    the driver holds, go along with the code.
     """
     ids, matrix = centroids.ids, centroids.matrix.astype(np.float64).T
-    members, closeness, least = centroids.members, centroids.closeness, min(max(probe_clusters, 1), len(centroids.ids))
+    least = min(max(probe_clusters, 1), len(ids))
+    live = dict(zip(dealt.ids.tolist(), dealt.members.tolist()))
+    members = centroids.members if walk is None else np.array([live.get(int(c), 0) for c in ids], np.float64)
+    # where each dealt cluster stands among the centroids
+    known = np.array([c in centroids.at for c in dealt.ids.tolist()], bool)
+    at = np.array([centroids.at[c] for c in dealt.ids[known].tolist()], np.int64)
+    most = max(1, min(QUERIES, CELLS // max(1, len(ids))))
+
+    def chosen(vectors: np.ndarray) -> np.ndarray:
+        scores = vectors @ matrix
+        out = covering(scores, members, centroids.closeness, len(matrix), k, coverage) if coverage > 0 else np.zeros(scores.shape, bool)
+        if walk is None:
+            np.put_along_axis(out, np.argsort(-scores, axis=1, kind="stable")[:, :least], True, axis=1)
+        else:
+            out &= members > 0
+            for own, row in zip(scores, out):
+                row[[centroids.at[c] for c in _walk(centroids, own, *walk, probe_clusters, live)]] = True
+        return out
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf) if len(ids) else 0, QUERIES):
-                part = pdf.iloc[start : start + QUERIES]
-                scores = np.stack(part["qv"].to_numpy()).astype(np.float64) @ matrix
-                chosen = covering(scores, members, closeness, len(matrix), k, coverage) if coverage > 0 else np.zeros(scores.shape, bool)
-                np.put_along_axis(chosen, np.argsort(-scores, axis=1, kind="stable")[:, :least], True, axis=1)
-                at = np.nonzero(chosen)
-                yield pd.DataFrame({"qid": part["qid"].to_numpy()[at[0]], "cluster_id": ids[at[1]].astype(np.int32)})
-
-    return queries.select("qid", "qv").mapInPandas(route, "qid long, cluster_id int")
+            for start in range(0, len(pdf), most):
+                part = pdf.iloc[start : start + most]
+                asked = np.repeat((dealt.ids < 0)[None], len(part), axis=0)
+                if len(ids):
+                    asked[:, known] |= chosen(np.stack(part["qv"].to_numpy()).astype(np.float64))[:, at]
+                yield dealt.asked(part["qid"].to_numpy(), part["qv"], asked)
+
+    return queries.select("qid", "qv").mapInPandas(route, ASKED)
 
 
 def exact_route(queries: DataFrame, clusters: DataFrame, probe_clusters: int = 12) -> DataFrame:

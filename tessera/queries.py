@@ -258,14 +258,13 @@ def _database(spark: SparkSession, sf_dir: str):
 def ann_graph_search(spark, sf_dir):
     """Graph-routed search, as it is by default, for every query, with the share of the exact hits found."""
     _, own = _database(spark, sf_dir)
-    asked = batch(collection(spark, sf_dir)).orderBy("qid").collect()  # a stated set, one search each
-    exact = {(r["qid"], r["id"]) for r in own.batch_search(batch(collection(spark, sf_dir)), K).collect()}
-    rows = []
-    for r in asked:
-        found = own.search(r["vector"], K)
-        both = {(r["qid"], h["id"]) for h in found.hits} & exact
-        rows.append((r["qid"], len(found.hits), found.stats.visited_clusters, found.stats.candidate_count, len(both) / K))
-    return spark.createDataFrame(rows, "qid long, n_hits long, visited_clusters long, candidate_count long, recall double")
+    asked = batch(collection(spark, sf_dir))
+    found, told = own.search_each(asked, K)
+    found = found.checkpoint()
+    hits = found.groupBy("qid").agg(F.count("*").cast("long").alias("n_hits"))
+    every = asked.select("qid").join(hits, "qid", "left").join(told, "qid", "left").join(S.recall(found, own.batch_search(asked, K), K), "qid", "left")
+    none = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    return every.select("qid", none("n_hits"), none("visited_clusters"), none("candidate_count"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
 def batch_recall(spark, sf_dir):
