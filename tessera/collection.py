@@ -164,10 +164,14 @@ class Collection:
     def documents(self) -> DataFrame:
         """The live documents: doc_id, id, v, q, metadata, cluster_id."""
         rows = self._stored()
-        if self.state.log:
-            unit = V.normalize(F.col("vector"))
-            fresh = self._pending().filter(~F.col("deleted")).select((F.col("inserted") + self.state.next_doc_id).alias("doc_id"), "id", unit.alias("v"), V.quantize(unit).alias("q"), "metadata", F.lit(PENDING).alias("cluster_id"))
-            rows = rows.unionByName(fresh)
+        return self._alive(rows.unionByName(self._fresh()) if self.state.log else rows)
+
+    def _fresh(self) -> DataFrame:
+        """Documents of the log."""
+        rows = self._pending().filter(~F.col("deleted")).withColumn("v", V.normalize(F.col("vector")))
+        return rows.select((F.col("inserted") + self.state.next_doc_id).alias("doc_id"), "id", "v", V.quantize(F.col("v")).alias("q"), "metadata", F.lit(PENDING).alias("cluster_id"))
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
         return rows.join(self._dead(), "id", "left_anti") if self.state.log or self.state.tombstones else rows
 
     def clusters(self) -> DataFrame:
@@ -184,7 +188,10 @@ class Collection:
         return self._centroids
 
     def _live(self) -> dict[int, int]:
-        """Live documents by cluster, counted once for each state."""
+        """Live documents by cluster, counted once for each state; if nothing is deleted or in the log, the clusters say it."""
+        if self._live_clusters is None and self.state.clusters and not self.state.log and (not self.state.tombstones or self._tombstones().isEmpty()):
+            told = {r[0]: r[1] for r in self.clusters().select("cluster_id", "members").collect()}
+            self._live_clusters = None if None in told.values() else told
         if self._live_clusters is None:
             self._live_clusters = {r[0]: r[1] for r in self.documents().groupBy("cluster_id").count().collect()}
         return self._live_clusters
@@ -265,9 +272,10 @@ class Collection:
         have = found.orderBy("cluster_id").collect()
         ids = np.array([r["cluster_id"] for r in have], np.int64)
         matrix = np.array([r["centroid"] for r in have], np.float32).reshape(len(have), self.state.dimension)
-        lists = C.neighbor_lists(ids, matrix, self.state.graph_degree)
-        out = [(int(c), list(map(float, r["centroid"])), n, r["members"], r["closeness"]) for c, r, n in zip(ids, have, lists)]
-        self.spark.createDataFrame(out, "cluster_id int, centroid array<float>, neighbors array<int>, members long, closeness double").write.parquet(f"{self.path}/{name}")
+        lists = C.neighbors(self.spark, ids, matrix, self.state.graph_degree)
+        out = [(int(c), list(map(float, r["centroid"])), r["members"], r["closeness"]) for c, r in zip(ids, have)]
+        rows = self.spark.createDataFrame(out, "cluster_id int, centroid array<float>, members long, closeness double")
+        rows.join(lists, "cluster_id").select("cluster_id", "centroid", "neighbors", "members", "closeness").write.parquet(f"{self.path}/{name}")
         return int(ids.max(initial=-1)) + 1
 
     def snapshot(self) -> None:
@@ -276,7 +284,8 @@ class Collection:
             s = self.state
             if not s.log:
                 return
-            fresh = self.documents().filter(F.col("cluster_id") == PENDING)
+            shared_dir(self.spark)
+            fresh = self._alive(self._fresh()).checkpoint()  # read many times below
             version = s.version + 1
             generation, clusters, dead = f"gen-{version}", f"clusters-{version}", f"dead-{version}"
             self._dead().distinct().coalesce(1).write.parquet(f"{self.path}/{dead}")
@@ -320,7 +329,8 @@ class Collection:
         """Rewrites the live documents into one fresh generation, clustered anew, without tombstones or log."""
         with self.lock:
             s = self.state
-            live, version = self.documents(), s.version + 1
+            shared_dir(self.spark)
+            live, version = self.documents().checkpoint(), s.version + 1  # else each step opens a file for each cluster again
             generation, clusters = f"gen-{version}", f"clusters-{version}"
             empty = live.isEmpty()
             if not empty:

@@ -9,9 +9,11 @@ ties to the first; if a side stays empty, the cluster stays whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
@@ -20,6 +22,8 @@ from tessera.sources.files import shared_dir
 #: Most coarse centroids, rows they are chosen from, and rows that one task splits.
 COARSE, SAMPLE, CELL = 4096, 65_536, 200_000
 ROUNDS = 4
+#: Clusters whose neighbours one task finds.
+NEAR = 1024
 
 
 def average_centroid(members: np.ndarray) -> np.ndarray:
@@ -118,18 +122,32 @@ def centroids(docs: DataFrame) -> DataFrame:
     return whole.select("cluster_id", V.normalize(mean).alias("centroid"), "members", V.norm(mean).alias("closeness"))
 
 
-def neighbor_lists(ids: np.ndarray, matrix: np.ndarray, degree: int) -> list[list[int]]:
-    """Per cluster the ids of its ``degree`` nearest others, ascending; ties go to the lesser id.
+def neighbors(spark: SparkSession, ids: np.ndarray, matrix: np.ndarray, degree: int) -> DataFrame:
+    """(cluster_id, neighbors) by neighbor_lists, in tasks of NEAR clusters; the centroids go along with the code."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in pdf["start"]:
+                stop = min(int(start) + NEAR, len(ids))
+                yield pd.DataFrame({"cluster_id": ids[start:stop].astype(np.int32), "neighbors": neighbor_lists(ids, matrix, degree, int(start), stop)})
+
+    blocks = -(-len(ids) // NEAR)
+    return spark.range(0, blocks * NEAR, NEAR, max(1, blocks)).toDF("start").mapInPandas(near, "cluster_id int, neighbors array<int>")
+
+
+def neighbor_lists(ids: np.ndarray, matrix: np.ndarray, degree: int, first: int = 0, stop: int | None = None) -> list[list[int]]:
+    """Per cluster, of those from first to stop, the ids of its ``degree`` nearest others, ascending; ties go to the lesser id.
 
     Edges back are not added: a full list would have to drop one of its own best for them.
     """
     n, out = len(ids), []
+    stop = n if stop is None else stop
     most = min(degree, n - 1)
     if most < 1:
-        return [[] for _ in range(n)]
+        return [[] for _ in range(first, stop)]
     wide = matrix.astype(np.float64)
-    for start in range(0, n, 1024):
-        scores = wide[start : start + 1024] @ wide.T
+    for start in range(first, stop, 256):
+        scores = wide[start : min(start + 256, stop)] @ wide.T
         scores[np.arange(len(scores)), np.arange(start, start + len(scores))] = -np.inf
         floors = np.partition(scores, n - most, axis=1)[:, n - most]
         for own, floor in zip(scores, floors):

@@ -103,3 +103,35 @@ def test_normalizing_takes_the_norm_once_a_vector(spark):
     assert np.array_equal(np.array([r["v"] for r in rows], np.float32), V.normalized(np.array([r["vector"] for r in rows])))
     odd = spark.createDataFrame([([0.0, 0.0],), (None,), ([],)], "vector array<float>")
     assert [r[0] for r in odd.select(V.normalize(F.col("vector"))).collect()] == [[0.0, 0.0], None, []]
+
+
+def test_counts_and_compaction_read_the_documents_once(spark, root, monkeypatch):
+    """Each step of a compaction opened all files of documents anew, and so did the count of live ones."""
+    from tessera.database import Database
+    from tessera.operators import clusters as C
+
+    own = Database(spark, root).create_collection("docs", 4, 8)
+    rng = np.random.default_rng(0)
+    own.insert_batch([{"id": str(k), "vector": v} for k, v in enumerate(rng.normal(size=(90, 4)))])
+    scanned = lambda: {r[0]: r[1] for r in own.documents().groupBy("cluster_id").count().collect()}
+    assert own._live() == scanned()
+    reads = []
+    monkeypatch.setattr(Collection, "_stored", lambda self, f=Collection._stored: reads.append(1) or f(self))
+    assert not own.needs_compaction() and not reads
+    assert own.delete_batch(spark.createDataFrame([(str(k),) for k in range(0, 90, 3)], "id string")) == 30
+    reads.clear()
+    assert own._live() == scanned() and sum(own._live().values()) == 60
+    seen = []
+    monkeypatch.setattr(C, "build", lambda docs, *a, f=C.build: seen.append(docs._jdf.queryExecution().optimizedPlan().toString()) or f(docs, *a))
+    own.compact()
+    assert len(seen) == 1 and "parquet" not in seen[0].lower()
+    assert own._live() == scanned() and sum(own._live().values()) == 60
+
+
+def test_neighbours_are_found_in_blocks(spark, monkeypatch):
+    from tessera.operators import clusters as C
+
+    monkeypatch.setattr(C, "NEAR", 7)
+    ids, matrix = np.arange(30, 0, -1), V.normalized(np.random.default_rng(0).normal(size=(30, 4)))
+    got = {r[0]: r[1] for r in C.neighbors(spark, ids, matrix, 4).collect()}
+    assert got == dict(zip(ids.tolist(), C.neighbor_lists(ids, matrix, 4)))
